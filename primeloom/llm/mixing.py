@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from primeloom.llm import pairs as P
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: how that vocabulary splits text before it merges bytes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -162,7 +164,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
 
 def _prepare(documents: DataFrame, targets: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     wanted = clean_targets(targets)
-    docs = sized(documents, wanted, vocabulary)
+    docs = P.kept(sized(documents, wanted, vocabulary))  # three numbers a document; texts are tokenised once
     return docs, docs.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")), wanted
 
 

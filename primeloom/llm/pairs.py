@@ -6,12 +6,25 @@ every two blocks meet in a group of their own, so no task ever holds more than a
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, so that what follows reads them and no lost executor costs a recomputation.
+
+    The folder is the session's; only where none is set (as in tests) a temporary one is.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint()
+
+
 def latest(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
     """One row of each non-null key: the last delivered, then the one with the least content hash (re-deliveries are equal)."""
     order = [F.col("loaded_at").desc_nulls_last()] if "loaded_at" in df.columns else []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from primeloom.llm import leaks, near_edits, split_overlap, term_counts
+from primeloom.llm import answers, leaks, mixing, near_edits, reading_level, split_overlap, term_counts, truncated
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,9 +20,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_evaluation_records": _on(split_overlap.evaluation_records, "nsm_dataset"),
         "p2_found": _on(term_counts.found, "explications", "nsm_dataset"),
         "p2_terms": _on(term_counts.terms, "explications", "nsm_dataset"),
+        "p3_found": _on(truncated.found, "explications", "nsm_dataset", "entries"),
+        "p3_rates": _on(truncated.rates, "explications", "nsm_dataset", "entries"),
         "p4_found": _on(near_edits.found, "nsm_dataset"),
         "p4_classes": _on(near_edits.class_links, "nsm_dataset"),
+        "p5_found": _on(answers.found, "nsm_dataset"),
+        "p5_by_source": _on(answers.by_source, "nsm_dataset"),
         "p6_found": _on(leaks.found, "documents", "benchmark_items"),
         "p6_removal_spans": _on(leaks.removal_spans, "documents", "benchmark_items"),
         "p6_leaked_items": _on(leaks.leaked_items, "documents", "benchmark_items"),
+        "p7_mixture": _on(mixing.mixture, "documents", "mix_targets"),
+        "p7_shares": _on(mixing.shares, "documents", "mix_targets"),
+        "p8_found": _on(reading_level.found, "documents", "level_labels"),
+        "p8_profile": _on(reading_level.profile, "documents", "level_labels"),
     }
