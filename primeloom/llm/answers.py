@@ -39,12 +39,12 @@ EMPTY_PHRASES = "no answer, not available, not applicable, to be done, to be det
 LABELS = "paraphrase explication answer response output word meaning definition result text examples example explanation it means the meaning"
 REFUSAL_CUES = (
     r"\b(?:can(?:no|')?t|can not|could(?:n't| not)|won't|will not|would(?:n't| not)|unable|(?:not|isn't) (?:able|allowed|permitted|possible|appropriate)|"
-    r"declin\w+|refus\w+|reject\w+|blocked|rather not|prefer not|not going to|must not|may not|no answer|don't (?:have|know)|do not (?:have|know)|not comfortable|denied|stop(?:s|ped)?|withheld|nothing (?:i|we) (?:can|could)|inappropriate)\b"
+    r"declin\w+|refus\w+|reject\w+|blocked|rather not|prefer not|not going to|must not|may not|no answer|don't (?:have|know)|do not (?:have|know)|not (?:feel )?comfortable|don't feel comfortable|uncomfortable|outside (?:of )?what|beyond what|denied|stop(?:s|ped)?|withheld|nothing (?:i|we) (?:can|could)|inappropriate)\b"
 )
 SORRY_CUES = r"\b(?:sorry|apolog\w+|regret\w*|unfortunately|afraid)\b"
 OBJECT_CUES = (
     r"\b(?:requests?|requested|tasks?|entry|entries|paraphras\w+|explication\w*|rewrit\w*|assist\w*|guidelines?|polic(?:y|ies)|language model|ai|model|answer that|"
-    r"help with|help you|explain|describe|generate|continue|information|context|instructions?|simple terms|basic words|provide|comply|fulfil\w*|express|define|definition|examples?|prompt|attempt|responses?|filter|safety|appropriate|inappropriate)\b"
+    r"help with|help you|explain|describe|generate|continue|information|context|instructions?|simple terms|basic words|provide|comply|fulfil\w*|express|define|definition|examples?|prompt|attempt|responses?|filter|safety|appropriate|inappropriate|allowed|permitted|comfortable)\b"
 )
 ASK_CUES = r"\b(?:could you|can you|would you|please (?:provide|tell|give|clarify|specify|share|explain|say)|do you (?:mean|want)|did you mean|what do you|what exactly|which (?:sense|meaning|one|of)|tell me more|more context|more information|more details|clarify)\b"
 FIRST_PERSON = r"\b(?:i|i'm|i'd|i'll|i've|we|me|my|our|this assistant|the assistant|the model|as an ai|language model)\b"
