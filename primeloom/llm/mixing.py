@@ -158,7 +158,7 @@ def take_by_length(lengths: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, tokens, uses``: every document drawn and how often."""
+    """``doc_id, source, tokens, uses``: every document that could be drawn and how often it is (0: left out)."""
     return _draw(*_prepare(documents, targets, vocabulary), total_tokens, seed)
 
 
@@ -180,7 +180,7 @@ def _draw(docs: DataFrame, lengths: DataFrame, wanted: DataFrame, total_tokens:
     placed = keyed.join(per_slice.select("source", "tokens", "slice", F.coalesce(before, F.lit(0)).alias("before")), ["source", "tokens", "slice"])
     rank = F.row_number().over(Window.partitionBy("source", "tokens", "slice").orderBy("h", "doc_id")) + F.col("before")
     uses = F.col("passes") + (F.col("rank") <= F.col("take")).cast("long")
-    return placed.withColumn("rank", rank).withColumn("uses", uses).where("uses > 0").select("doc_id", "source", "tokens", "uses")
+    return placed.withColumn("rank", rank).withColumn("uses", F.greatest(uses, F.lit(0))).select("doc_id", "source", "tokens", "uses")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -7,6 +7,7 @@ every two blocks meet in a group of their own, so no task ever holds more than a
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,17 +15,27 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, so that what follows reads them and no lost executor costs a recomputation.
-
-    The folder is the session's; only where none is set (as in tests) a temporary one is.
-    """
+def _shared_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder; only where none is set (as in tests) a temporary one is."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder as a checkpoint: what follows reads them, and no lost executor costs a recomputation."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``kept``, but as a compressed table, so later steps read only the columns they use. For rows with texts."""
+    path = f"{_shared_folder(df).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
     """One row of each non-null key: the last delivered, then the one with the least content hash (re-deliveries are equal)."""
     order = [F.col("loaded_at").desc_nulls_last()] if "loaded_at" in df.columns else []
@@ -36,19 +47,22 @@ def latest(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
     return ranked.where("_turn = 1").select(key, *columns)
 
 
-def classes(records: DataFrame, key: str, text: str) -> DataFrame:
-    """Records with equal text: ``digest, rep`` (their least key), ``text``. One shuffle, combined before it."""
-    return (
-        records.groupBy(F.unhex(F.md5(text)).alias("digest"))
-        .agg(F.min_by(text, key).alias("text"), F.min(key).alias("rep"))
-        .select("digest", "rep", "text")
-    )
+def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records (``id, digest, text`` and more) with equal text as classes: representatives and members.
+
+    Representatives are the rows of the least id of each digest; members are all rows without text, with ``rep``. Only digests
+    and ids meet per class, combined before the shuffle; texts are joined by the ids that stay.
+    """
+    first = records.groupBy("digest").agg(F.min("id").alias("rep"))
+    reps = records.join(first.select(F.col("rep").alias("id")), "id", "left_semi").drop("digest").withColumnRenamed("id", "rep")
+    return reps, records.drop("text").join(first, "digest").drop("digest")
 
 
-def bucket_pairs(rows: DataFrame, both: int = 3) -> DataFrame:
-    """``a, b`` (a < b): every two members of one bucket, once. ``rows``: ``key, id, side``.
+def bucket_pairs(rows: DataFrame, least: int = 1) -> DataFrame:
+    """``a, b`` (a < b), once: members that share ``least`` buckets. ``rows``: ``key, id, side``, each key once an id.
 
-    ``side`` is a bit set. With ``both = 3`` two members pair only where one has bit 1 and the other bit 2.
+    ``side`` is a bit set: two members pair only where one has bit 1 and the other bit 2; where either has bit 4, one shared
+    bucket is enough.
     """
     held = Window.partitionBy("key")
     sized = rows.withColumn("n", F.count(F.lit(1)).over(held)).where("n > 1")
@@ -64,9 +78,10 @@ def bucket_pairs(rows: DataFrame, both: int = 3) -> DataFrame:
         "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.id <> y.id"
         " AND (lo = hi OR x.blk <> y.blk)"
         " AND ((x.side & 1 > 0 AND y.side & 2 > 0) OR (x.side & 2 > 0 AND y.side & 1 > 0))),"
-        " y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))"
+        " y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, (x.side | y.side) & 4 AS few))))"
     )
-    return blocked.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
+    shared = blocked.select(F.explode(found).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.max("p.few").alias("few"))
+    return shared.where((F.col("n") >= least) | (F.col("few") > 0)).select("a", "b")
 
 
 def with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
