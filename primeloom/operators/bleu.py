@@ -5,9 +5,7 @@ The definition is this library's own: default tokens, one reference; 0 where no
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from primeloom.functions.text import tokens
@@ -15,25 +13,25 @@ from primeloom.functions.text import tokens
 ORDER = 4
 
 
+def _grams(toks: Column, n: int) -> Column:
+    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return toks if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+
+
+def _clipped(h: Column, r: Column) -> Column:
+    """Sum over the n-grams in both of the lesser of their counts; only these few are counted."""
+    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    return F.aggregate(F.array_intersect(h, r), F.lit(0), lambda acc, g: acc + F.least(times(h, g), times(r, g)))
+
+
 def sentence_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, order: int = ORDER) -> DataFrame:
-    """``key, bleu`` of each row. n-grams are counted by groups of (key, n, gram), so long texts cost no more than their length."""
+    """``key, bleu`` of each row; made within the row, without a shuffle."""
     sided = pairs.select(key, tokens(F.col(hypothesis)).alias("h"), tokens(F.col(reference)).alias("r"))
-    kept = sided.select(key, F.size("h").alias("hl"), F.size("r").alias("rl"))
-
-    def grams(side: str, n: int) -> DataFrame:
-        t = F.col(side)
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        each = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
-        return sided.select(key, F.lit(n).alias("n"), F.explode(each).alias("g"), F.lit(int(side == "h")).alias("in_h"))
-
-    all_grams = reduce(DataFrame.unionAll, [grams(s, n) for s in "hr" for n in range(1, order + 1)])
-    counted = all_grams.groupBy(key, "n", "g").agg(F.sum("in_h").alias("ch"), F.sum(1 - F.col("in_h")).alias("cr"))
-    clipped = counted.groupBy(key).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("ch", "cr")).otherwise(0)).alias(f"c{n}") for n in range(1, order + 1)]
-    )
-    joined = kept.join(clipped, key, "left")
-    total = [F.greatest(F.col("hl") - (n - 1), F.lit(0)) for n in range(1, order + 1)]
-    hit = [F.coalesce(f"c{n}", F.lit(0)) for n in range(1, order + 1)]
+    orders = range(1, order + 1)
+    grams = sided.select(key, F.size("h").alias("hl"), F.size("r").alias("rl"), *[_grams(F.col(side), n).alias(f"{side}{n}") for side in "hr" for n in orders])
+    joined = grams.select(key, "hl", "rl", *[_clipped(F.col(f"h{n}"), F.col(f"r{n}")).alias(f"c{n}") for n in orders])
+    total = [F.greatest(F.col("hl") - (n - 1), F.lit(0)) for n in orders]
+    hit = [F.col(f"c{n}") for n in orders]
     missed = F.lit(0)
     logs, used = F.lit(0.0), F.lit(0)
     for t, c in zip(total, hit):
