@@ -83,8 +83,8 @@ def circular_lemma(target: Column, toks: Column, lemmas: dict[str, str]) -> Colu
     return F.when(target.isNull() | first.isNull(), F.lit(None).cast("boolean")).otherwise(F.exists(toks, lambda t: lemma(t) == lemma(first)))
 
 
-def route(model: Column, names: Sequence[str] = ("gpt", "gemini", "llama", "mistral", "deepnsm")) -> Column:
-    """The first of the names that the model's name holds, in any case; NULL for none."""
+def route(model: Column, names: Sequence[str] = ("gpt", "gemini", "llama", "mistral", "demo")) -> Column:
+    """The first of the names that the model's name holds, in any case; NULL for none. The last is that of one's own adapted models."""
     rule = F.lit(None).cast("string")
     for name in reversed(names):
         rule = F.when(F.contains(F.lower(model), F.lit(name)), name).otherwise(rule)

@@ -215,7 +215,7 @@ def tx_strip(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "SELECT model, CASE WHEN contains(lower(model), 'gpt') THEN 'gpt' WHEN contains(lower(model), 'gemini') THEN 'gemini' WHEN contains(lower(model), 'llama') THEN 'llama' "
-    "WHEN contains(lower(model), 'mistral') THEN 'mistral' WHEN contains(lower(model), 'deepnsm') THEN 'deepnsm' END AS route FROM explications GROUP BY model"
+    "WHEN contains(lower(model), 'mistral') THEN 'mistral' WHEN contains(lower(model), 'demo') THEN 'demo' END AS route FROM explications GROUP BY model"
 )
 def tx_dispatch_route(spark: SparkSession, d: str) -> DataFrame:
     return readers.table(spark, d, "explications").select("model").distinct().select("model", X.route(F.col("model")).alias("route"))

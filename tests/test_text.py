@@ -54,7 +54,7 @@ def test_circularity(spark):
 def test_capitalise_route_and_bands(spark):
     one = spark.range(1)
     assert one.select(X.capitalise(F.lit("o'NEIL abc")).alias("x")).first().x == "O'neil abc"
-    names = {"Acme/GPT-llama": "gpt", "x/mistral-deepnsm": "mistral", "other": None}
+    names = {"Acme/GPT-llama": "gpt", "x/mistral-demo": "mistral", "acme/Demo-1b": "demo", "other": None}
     for name, want in names.items():
         assert one.select(X.route(F.lit(name)).alias("x")).first().x == want
     assert [one.select(X.band(F.lit(v), 0.6, 0.4, True).alias("x")).first().x for v in (0.6, 0.5, 0.1)] == ["good", "fair", "poor"]
