@@ -16,6 +16,7 @@ from primeloom.functions import logits as G
 from primeloom.functions import text as X
 from primeloom.functions import truncate as T
 from primeloom.operators import plugins
+from primeloom.operators.batching import by_length
 from primeloom.operators.bleu import sentence_bleu
 from primeloom.plans import dispersion as D
 from primeloom.plans import fanout, prompts, scoring
@@ -643,3 +644,27 @@ def js_result_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def js_prediction_text(spark: SparkSession, d: str) -> DataFrame:
     rows = readers.table(spark, d, "predictions").withColumn("shown", sinks.prediction_text())
     return rows.groupBy("grader", "entry_id", "passage_id", "slot").agg(F.count(F.lit(1)).alias("n"), F.max("shown").alias("shown"))
+
+
+@_query("SELECT entry_id, passage_id, to_json({'text': text, 'src': src})::VARCHAR AS line FROM passages")
+def js_passage_json(spark: SparkSession, d: str) -> DataFrame:
+    line = F.to_json(F.struct("text", "src"), {"ignoreNullFields": "false"})
+    return readers.table(spark, d, "passages").select("entry_id", "passage_id", line.alias("line"))
+
+
+# ---- order (ST)
+
+
+@_query(f"WITH {_K} SELECT len(toks) // 16 AS bucket, count(*) AS texts, max(len(toks)) AS longest FROM k GROUP BY 1")
+def st_length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Texts batched by length, as a trainer's or grader's batches take them, counted by buckets of 16 tokens."""
+    rows = _explications(spark, d, F.size(X.tokens(F.col("text"))).cast("long").alias("length"))
+    batched = by_length(rows, F.col("length"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return batched.groupBy(F.floor(F.col("length") / 16).alias("bucket")).agg(F.count(F.lit(1)).alias("texts"), F.max("length").alias("longest"))
+
+
+@_query(f"WITH {_E} SELECT model, min(model_ord) AS model_ord FROM e GROUP BY model ORDER BY model_ord LIMIT 3")
+def st_first_models(spark: SparkSession, d: str) -> DataFrame:
+    """The first three models in the order of the run: a top-k."""
+    rows = _explications(spark, d, "model_ord").groupBy("model").agg(F.min("model_ord").alias("model_ord"))
+    return rows.orderBy("model_ord", "model").limit(3)

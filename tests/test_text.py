@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from primeloom.functions import lexicon as L
 from primeloom.functions import text as X
 from primeloom.functions import truncate as T
+from primeloom.plans.report import score_one
 
 
 def words(s):
@@ -73,3 +74,11 @@ def test_explication_variants(spark, text, want):
 def test_passage_variants(spark, text, want):
     row = spark.createDataFrame([(text,)], "t string").select(T.passage_variants(F.col("t")).alias("v")).first()
     assert [v.text for v in row.v] == want
+
+
+def test_score_one(spark):
+    r = score_one(spark, " glow ", ["The coals glow.", " "], "you can see this").first()
+    assert (r.length, r.primes, r.primes_band, r.circularity) == (4, 4, "good", "no") and "glow" in r.prompt
+    for word, examples in (("", ["x"]), ("x", []), ("x", [" "])):
+        with pytest.raises(ValueError):
+            score_one(spark, word, examples, "y")
