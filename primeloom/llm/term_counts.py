@@ -53,7 +53,7 @@ def scan_runs(said: list[list[str]], numbers: dict[str, int]) -> tuple[np.ndarra
     return of[first], np.add.reduceat(times, first) if len(first) else times, np.diff(np.append(first, len(of)))
 
 
-def count_terms(said: DataFrame, rare_below: int = RARE_BELOW, bound_texts: int = BOUND_TEXTS) -> DataFrame:
+def count_terms(said: DataFrame, bound_texts: int = BOUND_TEXTS) -> DataFrame:
     """``term, occurrences, records`` of every word of the column ``text``."""
     n = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = sorted({w for (t,) in said.limit(bound_texts).collect() for w in W.words(t)})
