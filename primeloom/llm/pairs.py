@@ -58,12 +58,14 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, records.drop("text").join(first, "digest").drop("digest")
 
 
-def bucket_pairs(rows: DataFrame, least: int = 1) -> DataFrame:
+def bucket_pairs(rows: DataFrame, least: int = 1, also: str = "true") -> DataFrame:
     """``a, b`` (a < b), once: members that share ``least`` buckets. ``rows``: ``key, id, side``, each key once an id.
 
     ``side`` is a bit set: two members pair only where one has bit 1 and the other bit 2; where either has bit 4, one shared
-    bucket is enough.
+    bucket is enough. ``also``: a further condition on the members' other columns, as ``x.size <= y.size``; it must not depend
+    on which of the two is ``x``.
     """
+    carried = [c for c in rows.columns if c != "key"]
     held = Window.partitionBy("key")
     sized = rows.withColumn("n", F.count(F.lit(1)).over(held)).where("n > 1")
     blocked = (
@@ -71,12 +73,12 @@ def bucket_pairs(rows: DataFrame, least: int = 1) -> DataFrame:
         .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .groupBy("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-        .agg(F.collect_list(F.struct("id", "side", "blk")).alias("m"))
+        .agg(F.collect_list(F.struct(*carried, "blk")).alias("m"))
         .where("size(m) > 1")
     )
     found = F.expr(
         "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.id <> y.id"
-        " AND (lo = hi OR x.blk <> y.blk)"
+        f" AND (lo = hi OR x.blk <> y.blk) AND ({also})"
         " AND ((x.side & 1 > 0 AND y.side & 2 > 0) OR (x.side & 2 > 0 AND y.side & 1 > 0))),"
         " y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, (x.side | y.side) & 4 AS few))))"
     )

@@ -132,6 +132,24 @@ def test_copy_verdict():
     assert C.copy_verdict("a " * 20_000 + "a", "a " * 20_001 + "b.") is not None
 
 
+def test_every_longer_copy_is_compared(spark):
+    """The longest texts of the end's buckets don't hold its last words; a shorter copy does, and a twin of the end tells nothing."""
+    rng = random.Random(3)
+    said = [rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(60)]
+    end, copy = " ".join(said), " ".join([*said, "and", "more."])
+    longer = [" ".join([*said[:54], *(f"z{i}x{j}" for j in range(12))]) + "." for i in range(300)]
+    texts = spark.createDataFrame([(1, end), (2, copy), (3, end), *((10 + i, t) for i, t in enumerate(longer))], "id long, text string")
+    assert {tuple(r) for r in C.by_copies(texts, C.open_ends(texts)).collect()} == {(1, True), (3, True)}
+    assert C.copy_verdict(end, end) is None
+
+
+def test_nearest_copy_decides(spark):
+    said = [f"w{i}" for i in range(60)]
+    far = " ".join(["x", *said[1:30], "y", *said[31:], "on", "and", "on."])
+    texts = spark.createDataFrame([(1, " ".join(said)), (2, " ".join(said) + ". It goes on."), (3, far)], "id long, text string")
+    assert [tuple(r) for r in C.by_copies(texts, C.open_ends(texts)).collect()] == [(1, False)]
+
+
 def test_long_texts_have_labels():
     assert A.label("w", ["e"], "x" * 200_000) is None
     assert A.label("w", [], "- " * 100_000) == "empty"
