@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from primeloom.llm import words as W
+
 BLOCK = 256
 
 
@@ -62,7 +67,7 @@ def bucket_pairs(rows: DataFrame, least: int = 1, also: str = "true") -> DataFra
     """``a, b`` (a < b), once: members that share ``least`` buckets. ``rows``: ``key, id, side``, each key once an id.
 
     ``side`` is a bit set: two members pair only where one has bit 1 and the other bit 2; where either has bit 4, one shared
-    bucket is enough. ``also``: a further condition on the members' other columns, as ``x.size <= y.size``; it must not depend
+    bucket is enough. ``also``: a further condition on the members' other columns, as ``x.size = y.size``; it must not depend
     on which of the two is ``x``.
     """
     carried = [c for c in rows.columns if c != "key"]
@@ -86,6 +91,37 @@ def bucket_pairs(rows: DataFrame, least: int = 1, also: str = "true") -> DataFra
     return shared.where((F.col("n") >= least) | (F.col("few") > 0)).select("a", "b")
 
 
+def exact_pairs(reps: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``a, b`` (a < b), once: every pair of texts whose sets of k-word runs agree by ``threshold`` or more, and some others.
+
+    ``reps``: ``rep, text, side``, with ``side`` as in ``bucket_pairs``. Prefix filter: runs that no possible partner holds are
+    dropped, the others ordered from rare to frequent, the same for all texts. Two texts of x and y distinct runs that agree
+    share at least threshold / (1 + threshold) * (x + y) of them, so from the first run in common on either text has that many
+    left (``rest``). Pairs for which that holds at no run in common can't agree; no other pair is dropped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = W.WordHash()
+        for batch in batches:
+            hashes, offsets, _ = W.flat_hashes(batch.column(1).to_pylist(), known)
+            value, record, _ = W.ngrams(hashes, offsets, k)
+            order = np.lexsort((value, record))
+            value, record = value[order], record[order]
+            first = np.append(True, (value[1:] != value[:-1]) | (record[1:] != record[:-1])) if len(value) else np.zeros(0, bool)
+            value, record = value[first], record[first]
+            size = np.bincount(record, minlength=batch.num_rows)[record].astype(np.int32)
+            of = pa.array(record)
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(value)), batch.column(0).take(of), batch.column(2).take(of), pa.array(size)], ["key", "id", "side", "size"])
+
+    held, own = Window.partitionBy("key"), Window.partitionBy("id").orderBy(F.col("n").desc(), "key")
+    runs = reps.select("rep", "text", "side").mapInArrow(run, "key long, id long, side int, size int")
+    shared = runs.withColumn("n", F.count(F.lit(1)).over(held)).withColumn("sides", F.expr("bit_or(side)").over(held)).where("n > 1 AND sides & 3 = 3")
+    # a partner has at least threshold * size runs
+    prefix = shared.withColumn("rest", F.row_number().over(own)).where(F.col("rest") >= F.col("size") * threshold - 1e-6)
+    enough = f"least(x.rest, y.rest) >= {threshold / (1 + threshold)!r}D * (x.size + y.size) - 1e-6D"
+    return bucket_pairs(prefix.select("key", "id", "side", "size", "rest"), also=enough)
+
+
 def with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of representatives with both texts: ``a, b, ta, tb``."""
     left = reps.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
