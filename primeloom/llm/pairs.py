@@ -1,30 +1,37 @@
 """Steps shared by the near-copy operators: one row a record, classes of equal texts, candidate pairs from buckets.
 
-Buckets may be of any size. A bucket of more than ``BLOCK`` members is split by a hash of the member into blocks, and
-every two blocks meet in a group of their own, so no task ever holds more than about two blocks at once and no pair is lost.
+Buckets may be of any size. A bucket of more than ``BLOCK`` members is split by a hash of the member into blocks, and every
+two blocks meet in a group of their own that is shuffled by itself, so no task has to hold a bucket and no pair is lost.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from primeloom.llm import words as W
-
 BLOCK = 256
+#: bits of a text's bit set of runs, and the longs that hold them
+BITS, LONGS = 512, 8
 
 
 def _shared_folder(df: DataFrame) -> str:
-    """The session's checkpoint folder; only where none is set (as in tests) a temporary one is."""
+    """The session's checkpoint folder. A temporary one only where none is set and all tasks run in this process' machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -35,21 +42,28 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``kept``, but as a compressed table, so later steps read only the columns they use. For rows with texts."""
+    """As ``kept``, but as a compressed table, so later steps read only the columns they use. For rows with texts.
+
+    The table is removed when the application ends.
+    """
+    spark = df.sparkSession
     path = f"{_shared_folder(df).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def latest(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
-    """One row of each non-null key: the last delivered, then the one with the least content hash (re-deliveries are equal)."""
-    order = [F.col("loaded_at").desc_nulls_last()] if "loaded_at" in df.columns else []
-    # "map" and the like can't be hashed; the key's own rows need an order only where contents differ
-    content = [c for c, t in df.dtypes if c != "loaded_at" and not t.startswith(("map", "variant"))]
-    ranked = df.where(F.col(key).isNotNull()).withColumn(
-        "_turn", F.row_number().over(Window.partitionBy(key).orderBy(*order, F.xxhash64(*content)))
-    )
-    return ranked.where("_turn = 1").select(key, *columns)
+    """One row of each non-null key: the last delivered, then the one with the least content hash (re-deliveries are equal).
+
+    Only the columns asked for are read and hashed.
+    """
+    loaded = F.col("loaded_at") if "loaded_at" in df.columns else F.lit(None).cast("timestamp")
+    asked = df.where(F.col(key).isNotNull()).select(key, loaded.alias("_loaded"), *columns)
+    content = [c for c in asked.columns if c not in (key, "_loaded")]
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_loaded").desc_nulls_last(), F.xxhash64(*content) if content else F.lit(0)))
+    return asked.withColumn("_turn", turn).where("_turn = 1").select(key, *content)
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,80 +77,72 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, records.drop("text").join(first, "digest").drop("digest")
 
 
-def bucket_pairs(rows: DataFrame, least: int = 1, also: str = "true") -> DataFrame:
-    """``a, b`` (a < b), once: members that share ``least`` buckets. ``rows``: ``key, id, side``, each key once an id.
+def meetings(rows: DataFrame, also: str = "true") -> DataFrame:
+    """Every two members of a bucket, once a bucket: structs ``x`` and ``y`` of their columns, x.id < y.id.
 
-    ``side`` is a bit set: two members pair only where one has bit 1 and the other bit 2; where either has bit 4, one shared
-    bucket is enough. ``also``: a further condition on the members' other columns, as ``x.size = y.size``; it must not depend
-    on which of the two is ``x``.
+    ``rows``: ``key, id`` and more, each key once an id. ``also``: a condition on x and y.
     """
     carried = [c for c in rows.columns if c != "key"]
-    held = Window.partitionBy("key")
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(held)).where("n > 1")
+    sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     blocked = (
-        sized.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .groupBy("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-        .agg(F.collect_list(F.struct(*carried, "blk")).alias("m"))
-        .where("size(m) > 1")
+        sized.withColumn("_blocks", blocks)
+        .withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("key", F.least("_blk", "_other").alias("_lo"), F.greatest("_blk", "_other").alias("_hi"), "_blk", *carried)
     )
-    found = F.expr(
-        "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.id <> y.id"
-        f" AND (lo = hi OR x.blk <> y.blk) AND ({also})"
-        " AND ((x.side & 1 > 0 AND y.side & 2 > 0) OR (x.side & 2 > 0 AND y.side & 1 > 0))),"
-        " y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, (x.side | y.side) & 4 AS few))))"
+    left, right = (
+        blocked.select("key", "_lo", "_hi", F.col("_blk").alias(f"_{s}"), F.struct(*carried).alias(s)) for s in "xy"
     )
-    shared = blocked.select(F.explode(found).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.max("p.few").alias("few"))
-    return shared.where((F.col("n") >= least) | (F.col("few") > 0)).select("a", "b")
+    met = left.join(right, ["key", "_lo", "_hi"]).where(f"x.id < y.id AND (_lo = _hi OR _x <> _y) AND ({also})")
+    return met.select("x", "y")
 
 
-def exact_pairs(reps: DataFrame, k: int, threshold: float) -> DataFrame:
-    """``a, b`` (a < b), once: every pair of texts whose sets of k-word runs agree by ``threshold`` or more, and some others.
+def bit_set(value: np.ndarray, record: np.ndarray, n: int) -> np.ndarray:
+    """For each of n records the bits its runs' hashes point at, as ``LONGS`` signed numbers."""
+    bits = np.zeros((n, BITS), np.uint8)
+    bits[record, (value >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
-    ``reps``: ``rep, text, side``, with ``side`` as in ``bucket_pairs``. Prefix filter: runs that no possible partner holds are
-    dropped, the others ordered from rare to frequent, the same for all texts. Two texts of x and y distinct runs that agree
-    share at least threshold / (1 + threshold) * (x + y) of them, so from the first run in common on either text has that many
-    left (``rest``). Pairs for which that holds at no run in common can't agree; no other pair is dropped.
+
+def promising(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``a, b`` and more) whose sets of runs may agree by ``threshold`` or more; none that does is dropped.
+
+    ``facts``: ``rep, runs`` (distinct runs), ``bits`` (their bit set). Each bit that only the one text has set stands for at
+    least one run that only this text has, so the runs in common are at most all others.
     """
+    left, right = (facts.select(F.col("rep").alias(s), F.col("runs").alias(f"_n{s}"), F.col("bits").alias(f"_s{s}")) for s in "ab")
+    joined = pairs.join(left, "a").join(right, "b")
+
+    def others(n: str, own: str, other: str) -> Column:
+        return F.col(n) - reduce(Column.__add__, [F.bit_count(F.col(own)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(LONGS)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = W.WordHash()
-        for batch in batches:
-            hashes, offsets, _ = W.flat_hashes(batch.column(1).to_pylist(), known)
-            value, record, _ = W.ngrams(hashes, offsets, k)
-            order = np.lexsort((value, record))
-            value, record = value[order], record[order]
-            first = np.append(True, (value[1:] != value[:-1]) | (record[1:] != record[:-1])) if len(value) else np.zeros(0, bool)
-            value, record = value[first], record[first]
-            size = np.bincount(record, minlength=batch.num_rows)[record].astype(np.int32)
-            of = pa.array(record)
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(value)), batch.column(0).take(of), batch.column(2).take(of), pa.array(size)], ["key", "id", "side", "size"])
-
-    held, own = Window.partitionBy("key"), Window.partitionBy("id").orderBy(F.col("n").desc(), "key")
-    runs = reps.select("rep", "text", "side").mapInArrow(run, "key long, id long, side int, size int")
-    shared = runs.withColumn("n", F.count(F.lit(1)).over(held)).withColumn("sides", F.expr("bit_or(side)").over(held)).where("n > 1 AND sides & 3 = 3")
-    # a partner has at least threshold * size runs
-    prefix = shared.withColumn("rest", F.row_number().over(own)).where(F.col("rest") >= F.col("size") * threshold - 1e-6)
-    enough = f"least(x.rest, y.rest) >= {threshold / (1 + threshold)!r}D * (x.size + y.size) - 1e-6D"
-    return bucket_pairs(prefix.select("key", "id", "side", "size", "rest"), also=enough)
+    shared = F.least(others("_na", "_sa", "_sb"), others("_nb", "_sb", "_sa"))
+    return joined.where(shared >= (F.col("_na") + F.col("_nb")) * (threshold / (1 + threshold)) - 1e-6).select(*pairs.columns)
 
 
 def with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of representatives with both texts: ``a, b, ta, tb``."""
+    """Pairs of representatives (``a, b`` and more) with both texts: ``ta, tb``."""
     left = reps.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = reps.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", *[c for c in pairs.columns if c not in ("a", "b")])
 
 
 def expand(links: DataFrame, members: DataFrame, *kept: str) -> DataFrame:
-    """Pairs of records from links between classes, and the pairs within each class. ``members``: ``rep, id`` and more."""
-    left = members.select(F.col("rep").alias("a"), F.struct(*[c for c in members.columns if c != "rep"]).alias("x"))
-    right = members.select(F.col("rep").alias("b"), F.struct(*[c for c in members.columns if c != "rep"]).alias("y"))
-    across = links.join(left, "a").join(right, "b").select("x", "y", *kept)
-    repeated = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("a"))
-    within = repeated.join(left, "a").join(right, F.col("a") == F.col("b")).where("x.id < y.id")
-    within = within.select("x", "y", *[F.lit(1.0).alias(c) for c in kept])
+    """Pairs of records from links between classes, and the pairs within each class. ``members``: ``rep, id`` and more.
+
+    Large classes are split in blocks as buckets are, so the pairs of a class are made in many tasks.
+    """
+    fields = [c for c in members.columns if c != "rep"]
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_n"))
+    blocked = members.join(sizes, "rep").withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    within = meetings(blocked.where("_n > 1").select(F.col("rep").alias("key"), *fields)).select("x", "y", *[F.lit(1.0).alias(c) for c in kept])
+    side = {s: blocked.select(F.col("rep").alias(s), F.col("_blk").alias(f"_{s}"), F.struct(*fields).alias(m)) for s, m in (("a", "x"), ("b", "y"))}
+    split = links
+    for s in "ab":
+        split = split.join(sizes.select(F.col("rep").alias(s), F.col("_blocks").alias(f"_{s}s")), s)
+    split = split.withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_as") - 1))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1)))
+    across = split.join(side["a"], ["a", "_a"]).join(side["b"], ["b", "_b"]).select("x", "y", *kept)
     ordered = F.col("x.id") < F.col("y.id")
     return across.unionByName(within).select(
         F.when(ordered, F.col("x")).otherwise(F.col("y")).alias("x"),

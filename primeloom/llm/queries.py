@@ -47,8 +47,10 @@ def oracle_sql() -> dict[str, str]:
     """For queries that SQL can express. The others are tested against brute force, round trips or held-out labels."""
     return {
         "p1_found": f"WITH {_DATASET} SELECT x AS row_id_a, y AS row_id_b FROM q",
-        "p1_evaluation_records": f"WITH {_DATASET} SELECT k AS row_id, w.split, w.source, count(*) AS train_records, count(*) FILTER (sim >= 1) AS exact_copies, round(max(sim), 6) AS best_similarity "
+        "p1_evaluation_counts": f"WITH {_DATASET} SELECT k AS row_id, w.split, w.source, count(*) AS train_records, count(*) FILTER (sim >= 1) AS exact_copies "
         "FROM (SELECT CASE WHEN sx = 'train' THEN y ELSE x END AS k, sim FROM q) JOIN w ON w.row_id = k GROUP BY ALL",
+        "p1_counts_by_split_and_source": f"WITH {_DATASET}, k AS (SELECT CASE WHEN sx = 'train' THEN y ELSE x END AS row_id, count(*) AS n FROM q GROUP BY ALL) "
+        "SELECT split, source, count(*) AS records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM w LEFT JOIN k USING (row_id) WHERE split IN ('validation', 'test') AND len(ws) > 0 GROUP BY ALL",
         "p2_found": f"WITH {_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_terms": f"WITH {_TERMS} SELECT * FROM m",
         "p4_found": f"WITH {_DATASET} SELECT x AS row_id_a, y AS row_id_b FROM p",
@@ -65,12 +67,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": _on(split_overlap.found, "nsm_dataset"),
         "p1_by_split_and_source": _on(split_overlap.by_split_and_source, "nsm_dataset"),
         "p1_evaluation_records": _on(split_overlap.evaluation_records, "nsm_dataset"),
+        "p1_evaluation_counts": _on(split_overlap.evaluation_counts, "nsm_dataset"),
+        "p1_counts_by_split_and_source": _on(split_overlap.counts_by_split_and_source, "nsm_dataset"),
         "p2_found": _on(term_counts.found, "explications", "nsm_dataset"),
         "p2_terms": _on(term_counts.terms, "explications", "nsm_dataset"),
         "p3_found": _on(truncated.found, "explications", "nsm_dataset", "entries"),
         "p3_rates": _on(truncated.rates, "explications", "nsm_dataset", "entries"),
         "p4_found": _on(near_edits.found, "nsm_dataset"),
         "p4_classes": _on(near_edits.class_links, "nsm_dataset"),
+        "p4_class_pairs": _on(near_edits.class_pairs, "nsm_dataset"),
         "p5_found": _on(answers.found, "nsm_dataset"),
         "p5_by_source": _on(answers.by_source, "nsm_dataset"),
         "p6_found": _on(leaks.found, "documents", "benchmark_items"),

@@ -74,6 +74,14 @@ def ngrams(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(rolled[at]), record[at], at
 
 
+def distinct(value: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value once a record, sorted by record and value."""
+    order = np.lexsort((value, record))
+    value, record = value[order], record[order]
+    first = np.append(True, (value[1:] != value[:-1]) | (record[1:] != record[:-1])) if len(value) else np.zeros(0, bool)
+    return value[first], record[first]
+
+
 def seeds(n: int, seed: int = 7) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _GOLDEN + np.uint64(seed))
 
