@@ -94,9 +94,9 @@ def extend(a: Sequence[str], b: Sequence[str], where: dict[tuple[str, ...], list
     d, last_i, last_j = first[0] - first[1], first[0], first[1] - 1
     i = first[0]
     while i + k <= len(a):
-        while following is not None and following[0] < i:
+        while following is not None and (following[0] < i or following[1] <= last_j):
             following = next(ahead, None)
-        if following is not None and following[0] == i and following[1] > last_j:
+        if following is not None and following[0] == i:
             j: int | None = following[1]
         else:
             j = nearest(i, i - d, last_j + 1, len(b) - k)
