@@ -123,6 +123,10 @@ def test_truncated_and_defects(frame):
     assert C.found(*none).count() == 0 and A.defects(none[1]).count() == 0 and A.by_source(none[1]).count() == 0
 
 
+def told_by_copies(texts):
+    return {(r.id, r.early) for r in C.told(texts).collect() if r.early is not None}
+
+
 def test_copy_verdict():
     whole = "someone small wants a painted ring. it is like a weary cobweb, but it is not heavy. people can do many things with a shallow flask."
     assert C.copy_verdict(whole[:-4], whole) is True
@@ -139,7 +143,7 @@ def test_every_longer_copy_is_compared(spark):
     end, copy = " ".join(said), " ".join([*said, "and", "more."])
     longer = [" ".join([*said[:54], *(f"z{i}x{j}" for j in range(12))]) + "." for i in range(300)]
     texts = spark.createDataFrame([(1, end), (2, copy), (3, end), *((10 + i, t) for i, t in enumerate(longer))], "id long, text string")
-    assert {tuple(r) for r in C.by_copies(texts, C.open_ends(texts)).collect()} == {(1, True), (3, True)}
+    assert told_by_copies(texts) == {(1, True), (3, True)}
     assert C.copy_verdict(end, end) is None
 
 
@@ -147,7 +151,28 @@ def test_nearest_copy_decides(spark):
     said = [f"w{i}" for i in range(60)]
     far = " ".join(["x", *said[1:30], "y", *said[31:], "on", "and", "on."])
     texts = spark.createDataFrame([(1, " ".join(said)), (2, " ".join(said) + ". It goes on."), (3, far)], "id long, text string")
-    assert [tuple(r) for r in C.by_copies(texts, C.open_ends(texts)).collect()] == [(1, False)]
+    assert told_by_copies(texts) == {(1, False)}
+
+
+@pytest.mark.parametrize("part", [0.25, 0.5, 0.9])
+def test_strongly_cut_texts_meet_their_copies(spark, part):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        said = [f"w{rng.randrange(3000)}" for _ in range(80)]
+        rows.append((2 * i, " ".join(said) + "."))
+        copy = [w + "x" if j % 19 == 7 and 20 < j < 60 * part else w for j, w in enumerate(said)]
+        rows.append((2 * i + 1, " ".join(copy[: int(80 * part)])))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    assert {k for k, early in told_by_copies(texts) if early} >= {2 * i + 1 for i in range(60)}
+
+
+def test_long_words_and_notes_are_read_whole(spark):
+    word, note = "x" * 90, "(" + "n" * 100 + ")"
+    assert C.open_end(f"it is like a {note}") == "it is like a" and C.open_end(f"it is. {note}") is None
+    rows = [(i, f"it is {word} here. it is said {word} here.") for i in range(8)] + [(50, f"it is here. it is {word[:45]}")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    assert {r.id: r.cut for r in C.told(texts).collect()} == {50: True}
 
 
 def test_long_texts_have_labels():
