@@ -56,7 +56,9 @@ _REFUSAL, _SORRY, _OBJECT, _ASK, _FIRST = (re.compile(x) for x in (REFUSAL_CUES,
 _QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|(?<!\w)\"[^\"]*(?:\"|$)")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”)]?\s+|\n+")
 _DECORATION = re.compile(r"\s*(?:\(\w+\)|[:;]-?[)D])\s*$")
+LEAST_ENGLISH_OF, LEAST_ENGLISH = 6, 0.15  # words from which an answer's share of English function words tells, and that share
 COPY_LEFT = 0.35  # part of a response's own compressed size that may be left once its prompt is known
+STRANGE = 0.6  # part of a response in words its prompt lacks from which no copy is looked for: such words hardly compress
 FRAME = 9  # bytes of a zstandard frame without content, about
 
 
@@ -83,14 +85,23 @@ def other_language(text: str) -> bool:
         return True
     if len(said) < 3:
         return False
+    english = sum(w in _TABLE["en"] for w in said)
+    if english >= 0.5 * len(said):
+        return False  # no other language can have more than 1.5 times as many
     hits = {lang: sum(w in table for w in said) for lang, table in _TABLE.items()}
     most = max(n for lang, n in hits.items() if lang != "en")
-    return most > 1.5 * hits["en"] and most >= 0.25 * len(said)
+    if most > 1.5 * hits["en"] and most >= 0.25 * len(said):
+        return True
+    # a language without a dictionary here: hardly any word that English can't do without
+    return len(said) >= LEAST_ENGLISH_OF and hits["en"] < LEAST_ENGLISH * len(said)
 
 
 def is_refusal(text: str) -> bool:
     """Whether the text declines or asks back and holds no paraphrase. What is in quotation marks is spoken of, not said."""
-    said = _QUOTED.sub(" ", body(text).lower().replace("’", "'"))
+    said = body(text).lower().replace("’", "'")
+    if not (_REFUSAL.search(said) or _SORRY.search(said) or _ASK.search(said)):
+        return False  # no sentence can decline or ask
+    said = _QUOTED.sub(" ", said)
     sentences = [s for s in (x.strip(" -*•\t") for x in _SENTENCE.split(said)) if W.words(s)]
     refusing, words = 0, 0
     for s in sentences:
@@ -105,11 +116,17 @@ def is_refusal(text: str) -> bool:
 
 
 def left_after_prompt(prompt: str, said: str, level: int = 3) -> float:
-    """Compressed size of ``said`` with the prompt as dictionary, over that without, both less an empty frame's size."""
-    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=17, write_content_size=False, write_checksum=False)
-    data = said.encode()
+    """Compressed size of ``said`` with the prompt as dictionary, over that without, both less an empty frame's size.
+
+    The window spans both whole, so the first word of the longest prompt is still within reach of the last of the answer.
+    """
+    data, before = said.encode(), prompt.encode()
+    window = min(max((len(data) + len(before)).bit_length(), 17), zstandard.WINDOWLOG_MAX)
+    params = zstandard.ZstdCompressionParameters.from_level(
+        level, window_log=window, hash_log=min(window, 24), chain_log=min(window, 24), write_content_size=False, write_checksum=False
+    )
     plain = len(zstandard.ZstdCompressor(compression_params=params).compress(data)) - FRAME
-    known = zstandard.ZstdCompressionDict(prompt.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known = zstandard.ZstdCompressionDict(before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return max(0, len(zstandard.ZstdCompressor(compression_params=params, dict_data=known).compress(data)) - FRAME) / max(1, plain)
 
 
@@ -125,6 +142,8 @@ def is_copy(word: str | None, examples: list[str | None] | None, text: str) -> b
     prompt = " ".join(["word", *own, "examples", *(w for e in shown for w in e)])
     if len(said) < 5:  # too short to compress: the same words in the same order, or nothing but labels and the word
         return f" {' '.join(said)} " in f" {' '.join(' '.join(e) for e in shown)} " and len(said) >= 3
+    if sum(map(len, set(said).difference(prompt.split(" ")))) > STRANGE * sum(map(len, said)):
+        return False  # words the prompt lacks are spelt out, each once at least: too much would be left
     return left_after_prompt(prompt, " ".join(said)) < COPY_LEFT
 
 
@@ -152,12 +171,16 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 def defects(dataset: DataFrame) -> DataFrame:
-    """``row_id, source, defect``: every record, its defect NULL where the answer is sound."""
+    """``row_id, source, defect``: every record, its defect NULL where the answer is sound.
+
+    Cut answers are judged by the closing words and copies of this table alone; ``truncated.found`` reads a second table beside it.
+    """
     from primeloom.llm import truncated
 
     rows = P.latest(dataset, "row_id", F.lower(F.trim("source")).alias("source"), "word", "examples", F.col("explication").alias("text")).withColumnRenamed("row_id", "id")
-    cut = truncated.cut_ends(rows.where("text IS NOT NULL").select("id", "text")).select("id", F.lit(True).alias("cut"))
-    named = rows.select("id", "source").join(labelled(rows), "id").join(cut, "id", "left")
+    held = truncated.prepared(rows)
+    cut = truncated.cut_ends(held).select("id", F.lit(True).alias("cut"))
+    named = held.select("id", "source").join(labelled(held), "id").join(cut, "id", "left")
     return named.select(F.col("id").alias("row_id"), "source", F.coalesce("defect", F.when(F.col("cut"), "truncated")).alias("defect"))
 
 

@@ -6,54 +6,19 @@ two blocks meet in a group of their own that is shuffled by itself, so no task h
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from primeloom.sources.storage import kept, stored  # noqa: F401
+
 BLOCK = 256
 #: bits of a text's bit set of runs, and the longs that hold them
 BITS, LONGS = 512, 8
 
 
-def _shared_folder(df: DataFrame) -> str:
-    """The session's checkpoint folder. A temporary one only where none is set and all tasks run in this process' machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder as a checkpoint: what follows reads them, and no lost executor costs a recomputation."""
-    _shared_folder(df)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As ``kept``, but as a compressed table, so later steps read only the columns they use. For rows with texts.
-
-    The table is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{_shared_folder(df).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark._jvm.org.apache.hadoop.fs.Path(path)
-    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def latest(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
     """One row of each non-null key: the last delivered, then the one with the least content hash (re-deliveries are equal).
 

@@ -124,7 +124,7 @@ def test_truncated_and_defects(frame):
 
 
 def told_by_copies(texts):
-    return {(r.id, r.early) for r in C.told(texts).collect() if r.early is not None}
+    return {(r.id, r.early) for r in C.told(C.prepared(texts)).collect() if r.early is not None}
 
 
 def test_copy_verdict():
@@ -172,7 +172,24 @@ def test_long_words_and_notes_are_read_whole(spark):
     assert C.open_end(f"it is like a {note}") == "it is like a" and C.open_end(f"it is. {note}") is None
     rows = [(i, f"it is {word} here. it is said {word} here.") for i in range(8)] + [(50, f"it is here. it is {word[:45]}")]
     texts = spark.createDataFrame(rows, "id long, text string")
-    assert {r.id: r.cut for r in C.told(texts).collect()} == {50: True}
+    assert {r.id: r.cut for r in C.told(C.prepared(texts)).collect()} == {50: True}
+
+
+@pytest.mark.parametrize("kilobytes", [1, 140, 700])
+def test_copies_of_any_length_are_told(kilobytes):
+    rng = random.Random(kilobytes)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(kilobytes * 150))
+    assert A.is_copy("w", [long], long) and A.is_copy("w", ["first example", long, "a last one"], long)
+    assert not A.is_copy("w", [long], " ".join(str(rng.randrange(10**6)) for _ in range(kilobytes * 150)))
+
+
+def test_languages_without_a_dictionary():
+    for text in (
+        "Bu küçük bir şey, insanlar onu her gün evde görüyor.", "Tämä on jokin pieni asia, jonka ihmiset näkevät kotona.",
+        "Ini sesuatu yang kecil, orang melihatnya setiap hari.", "Acesta este un lucru mic, oamenii îl văd acasă.",
+    ):
+        assert A.label("w", [], text) == "language"
+    assert A.label("w", [], "someone small wants a painted ring because of this") is None
 
 
 def test_long_texts_have_labels():
