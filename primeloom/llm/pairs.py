@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from primeloom.sources.storage import kept, stored  # noqa: F401
 
 BLOCK = 256
+#: most ids that are broadcast: 8 bytes each, so 16 MB; more are shuffled
+BROADCAST_IDS = 2_000_000
 #: bits of a text's bit set of runs, and the longs that hold them
 BITS, LONGS = 512, 8
 
@@ -86,11 +88,20 @@ def promising(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame
     return joined.where(shared >= (F.col("_na") + F.col("_nb")) * (threshold / (1 + threshold)) - 1e-6).select(*pairs.columns)
 
 
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``ids`` (one column, each once). These are counted, and broadcast if they are few enough, so
+    that rows with texts are left out where they are read, not shuffled first."""
+    wanted = kept(ids.toDF(key))
+    few = wanted.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+
+
 def with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of representatives (``a, b`` and more) with both texts: ``ta, tb``."""
-    left = reps.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = reps.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", *[c for c in pairs.columns if c not in ("a", "b")])
+    """Pairs of representatives (``a, b`` and more) with both texts: ``ta, tb``. Only texts of some pair are shuffled."""
+    held = kept(pairs)
+    texts = only(reps.select("rep", "text"), held.select(F.explode(F.array("a", "b"))).distinct(), "rep")
+    left, right = (texts.select(F.col("rep").alias(s), F.col("text").alias(f"t{s}")) for s in "ab")
+    return held.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", *[c for c in pairs.columns if c not in ("a", "b")])
 
 
 def expand(links: DataFrame, members: DataFrame, *kept: str) -> DataFrame:
