@@ -5,7 +5,12 @@ The definition is this library's own: default tokens, one reference; 0 where no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from primeloom.functions.text import tokens
@@ -13,32 +18,32 @@ from primeloom.functions.text import tokens
 ORDER = 4
 
 
-def _grams(toks: Column, n: int) -> Column:
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return toks if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
-
-
-def _clipped(h: Column, r: Column) -> Column:
-    """Sum over the n-grams in both of the lesser of their counts; only these few are counted."""
-    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    return F.aggregate(F.array_intersect(h, r), F.lit(0), lambda acc, g: acc + F.least(times(h, g), times(r, g)))
-
-
-def sentence_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, order: int = ORDER) -> DataFrame:
-    """``key, bleu`` of each row; made within the row, without a shuffle."""
-    sided = pairs.select(key, tokens(F.col(hypothesis)).alias("h"), tokens(F.col(reference)).alias("r"))
-    orders = range(1, order + 1)
-    grams = sided.select(key, F.size("h").alias("hl"), F.size("r").alias("rl"), *[_grams(F.col(side), n).alias(f"{side}{n}") for side in "hr" for n in orders])
-    joined = grams.select(key, "hl", "rl", *[_clipped(F.col(f"h{n}"), F.col(f"r{n}")).alias(f"c{n}") for n in orders])
-    total = [F.greatest(F.col("hl") - (n - 1), F.lit(0)) for n in orders]
-    hit = [F.col(f"c{n}") for n in orders]
-    missed = F.lit(0)
-    logs, used = F.lit(0.0), F.lit(0)
-    for t, c in zip(total, hit):
-        missed = missed + F.when((t > 0) & (c == 0), 1).otherwise(0)
-        precision = F.when(c > 0, c / t).otherwise(1.0 / (F.pow(F.lit(2.0), missed) * t))
-        logs = logs + F.when(t > 0, F.log(F.when(t > 0, precision))).otherwise(0.0)
-        used = used + (t > 0).cast("int")
-    brevity = F.when(F.col("hl") < F.col("rl"), F.exp(1 - F.col("rl") / F.when(F.col("hl") > 0, F.col("hl")))).otherwise(1.0)
-    score = F.when(sum(hit, F.lit(0)) == 0, 0.0).otherwise(100.0 * brevity * F.exp(logs / used))
-    return joined.select(key, score.alias("bleu"))
+def score(hypothesis: Sequence[str], reference: Sequence[str], order: int = ORDER) -> float:
+    """BLEU of two token lists; each n-gram is counted once, so the work grows with their lengths."""
+    hits, logs, used, missed = 0, 0.0, 0, 0
+    for n in range(1, order + 1):
+        total = len(hypothesis) - n + 1
+        if total <= 0:
+            break
+        own = Counter(zip(*(hypothesis[s:] for s in range(n))))
+        other = Counter(zip(*(reference[s:] for s in range(n))))
+        clipped = sum(min(c, other[g]) for g, c in own.items() if g in other)
+        hits += clipped
+        missed += clipped == 0
+        logs += math.log(clipped / total if clipped else 1.0 / (2.0**missed * total))
+        used += 1
+    if not hits:
+        return 0.0
+    brevity = math.exp(1 - len(reference) / len(hypothesis)) if len(hypothesis) < len(reference) else 1.0
+    return 100.0 * brevity * math.exp(logs / used)
+
+
+def sentence_bleu(pairs: DataFrame, hypothesis: str, reference: str, name: str = "bleu", order: int = ORDER) -> DataFrame:
+    """The rows with ``name`` added; made in Arrow batches within the row, without a shuffle."""
+
+    @F.pandas_udf("double")
+    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for h, r in batches:
+            yield pd.Series([score(list(x), list(y), order) for x, y in zip(h, r)])
+
+    return pairs.withColumn(name, made(tokens(F.col(hypothesis)), tokens(F.col(reference))))

@@ -8,17 +8,36 @@ what they return is no model's result.
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+@dataclass(frozen=True)
+class Decoding:
+    """How a generator decodes; ``seed`` makes a batch of sampled texts the same again."""
+
+    max_new_tokens: int = 512
+    do_sample: bool = True
+    top_k: int = 50
+    top_p: float = 0.95
+    temperature: float = 0.7
+    seed: int = 0
+
+    def __post_init__(self):
+        if self.max_new_tokens < 1 or self.top_k < 0 or not 0 < self.top_p <= 1 or (self.do_sample and self.temperature <= 0):
+            raise ValueError("decoding needs at least one token, a share of 0 to 1, and a temperature above 0 to sample")
+
+
+GREEDY = Decoding(do_sample=False, top_k=0, top_p=1.0, temperature=1.0)
+
+
 class Generator(Protocol):
     def __call__(self, batch: pd.DataFrame) -> pd.Series:
-        """Text for each ``prompt``."""
+        """Text for each ``prompt``, decoded as the ``Decoding`` its factory was given says."""
 
 
 class Grader(Protocol):
@@ -65,8 +84,8 @@ def _mapped(rows: DataFrame, make: Callable[[], Callable], add: str, names: list
     return rows.mapInPandas(run, f"{kinds}, {add}")
 
 
-def generate(prompts: DataFrame, make: Callable[[], Generator], size: int | None = None) -> DataFrame:
-    return _mapped(prompts, make, "text string", ["text"], size)
+def generate(prompts: DataFrame, make: Callable[[Decoding], Generator], size: int | None = None, decoding: Decoding = Decoding()) -> DataFrame:
+    return _mapped(prompts, lambda: make(decoding), "text string", ["text"], size)
 
 
 def grade(prompts: DataFrame, make: Callable[[], Grader], size: int | None = None) -> DataFrame:
@@ -86,29 +105,44 @@ def measure(pairs: DataFrame, make: Callable[[], Metric], size: int | None = 64)
     return _mapped(pairs, make, "metric double", ["metric"], size)
 
 
-def _number(text: str) -> float:
-    return zlib.crc32((text or "").encode()) / 2**32
+# ---- stand-ins: each a rule that SQL can state too
+
 
+def _number(text: str, word: str) -> float:
+    return (len(text or "") * 31 + len(word or "")) % 997 / 997
 
-def fake_generator() -> Generator:
-    return lambda b: pd.Series([f"this is something like {p.split()[-1] if p and p.split() else 'this'}" for p in b["prompt"]])
+
+def fake_generator(decoding: Decoding) -> Generator:
+    """Something like the prompt's last word, cut at the most tokens."""
+
+    def run(b: pd.DataFrame) -> pd.Series:
+        return pd.Series([" ".join(f"this is something like {p.split()[-1] if p and p.split() else 'this'}".split(" ")[: decoding.max_new_tokens]) for p in b["prompt"]])
+
+    return run
 
 
 def fake_grader() -> Grader:
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        x = [_number(f"{p}|{w}") for p, w in zip(b["prompt"], b["word"])]
+        x = [_number(p, w) for p, w in zip(b["prompt"], b["word"])]
         return pd.DataFrame({"prediction": b["word"].tolist(), "answer_logprob": [math.log(v + 1e-6) for v in x], "answer_ranks": [[int(v * 50) + 1] for v in x], "is_match": [v > 0.5 for v in x]})
 
     return run
 
 
-def fake_translator() -> Translator:
-    return lambda b: pd.Series([" ".join((t or "").split()[::-1][::-1]) if n != "xx" else 1 / 0 for t, n in zip(b["text"], b["lang"])])
+#: what the stand-in loses on the way to each language and back
+FAKE_LOSSES = {"de": ("this", "that"), "fr": ("people", "persons"), "es": ("something", "a thing"), "ja": ("someone", "a person"), "sw": (" of ", " "), "hi": ("thing", "object"), "fi": ("the ", ""), "ar": ("can ", "")}
+
+
+def fake_translator(losses: Mapping[str, tuple[str, str]] = FAKE_LOSSES) -> Translator:
+    """Replaces one string for each language; a language it doesn't know fails."""
+    return lambda b: pd.Series([(t or "").replace(*losses[n]) for t, n in zip(b["text"], b["lang"])])
 
 
-def fake_embedder(size: int = 8) -> Embedder:
-    return lambda b: pd.Series([[_number(f"{i}{t}") for i in range(size)] for t in b["text"]])
+def fake_embedder(letters: str = "aeiostnr") -> Embedder:
+    """How often each of some letters stands in a text."""
+    return lambda b: pd.Series([[float((t or "").count(c)) for c in letters] for t in b["text"]])
 
 
 def fake_metric() -> Metric:
-    return lambda b: pd.Series([1.0 if h == r else _number(f"{h}|{r}") for h, r in zip(b["hypothesis"], b["reference"])])
+    """One less the part of the longer text's length by which the two differ."""
+    return lambda b: pd.Series([1.0 - abs(len(h or "") - len(r or "")) / max(len(h or ""), len(r or ""), 1) for h, r in zip(b["hypothesis"], b["reference"])])

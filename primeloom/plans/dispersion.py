@@ -21,6 +21,14 @@ def position_values(rows: DataFrame, array: str, positions: Sequence[int] = POSI
     return rows.select(*[c for c in rows.columns if c != array], F.posexplode(array).alias("position", "value")).where(F.col("position").isin(*positions))
 
 
+def position_deviations(rows: DataFrame, by: str, arrays: dict[str, str], positions: Sequence[int] = POSITIONS, divisor: float = DIVISOR) -> DataFrame:
+    """``by, metric, position, std, bar`` of the arrays of scores by language (metric name: column), in one pass over the rows."""
+    measures = [F.stddev_pop(F.get(F.col(c), F.lit(p))).alias(f"{m}_{p}") for m, c in arrays.items() for p in positions]
+    wide = rows.groupBy(by).agg(*measures)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(p).alias("position"), F.col(f"{m}_{p}").alias("std")) for m in arrays for p in positions]))
+    return wide.select(by, each.alias("e")).where("e.std IS NOT NULL").select(by, "e.metric", "e.position", "e.std", (F.col("e.std") / divisor).alias("bar"))
+
+
 def splice(main: DataFrame, other: DataFrame, keys: Sequence[str], array: str) -> DataFrame:
     """Keys and the first four values of the main run, three zeros, the first value of the other run.
 

@@ -62,20 +62,34 @@ def first_pairs(bank: Column, most: int | None) -> Column:
     return bank if most is None else F.slice(bank, 1, most)
 
 
-def messages(system: Column, user: Column, bank: Column | None = None, mode: str = "native", wording: Wording = DEFAULT) -> Column:
+MODES = ("native", "emulated", "inline")
+
+
+def messages(system: Column, user: Column, bank: Column | None = None, mode: str | Column = "native", wording: Wording = DEFAULT) -> Column:
+    """``mode``: one for all rows, or a column with each row's own. A NULL system instruction gives no system turn."""
+    if isinstance(mode, Column):
+        made = {m: messages(system, user, bank, m, wording) for m in MODES}
+        return F.when(mode == "native", made["native"]).when(mode == "emulated", made["emulated"]).when(mode == "inline", made["inline"])
     turns = few_shot_turns(bank) if bank is not None else F.array().cast(MESSAGES)
-    asked = F.array(message("user", user))
+    asked, none = F.array(message("user", user)), F.array().cast(MESSAGES)
     if mode == "native":
-        return F.concat(F.array(message("system", system)), turns, asked)
+        return F.concat(F.when(system.isNotNull(), F.array(message("system", system))).otherwise(none), turns, asked)
     wrapped = F.concat(F.lit("<SYS>"), system, F.lit("</SYS>"))
     if mode == "emulated":
-        return F.concat(F.array(message("user", wrapped), message("assistant", F.lit(wording.acknowledgement))), turns, asked)
+        return F.concat(F.when(system.isNotNull(), F.array(message("user", wrapped), message("assistant", F.lit(wording.acknowledgement)))).otherwise(none), turns, asked)
     if mode == "inline":
         shots = few_shot_inline(bank) if bank is not None else F.lit("")
-        return F.array(message("user", F.concat(wrapped, F.lit("\n"), shots, user)))
+        instruction = F.coalesce(F.concat(wrapped, F.lit("\n")), F.lit(""))
+        return F.array(message("user", F.concat(instruction, shots, F.lit("<USER>"), user, F.lit("</USER>"))))
     raise ValueError(f"mode must be native, emulated or inline, not {mode!r}")
 
 
+def grader_mode(grader: Column, slot: Column) -> Column:
+    """How a grader gets its system instruction: by its name, read with its case for passages alone and without it else."""
+    emulated = F.when(slot == -1, emulates_system(grader, ignore_case=False)).otherwise(emulates_system(grader))
+    return F.when(emulated, "emulated").otherwise("native")
+
+
 def joined_examples(examples: Column, between: str = "\n\n") -> Column:
     return F.coalesce(F.array_join(examples, between), F.lit(""))
 
@@ -118,12 +132,17 @@ def chat_line(custom_id: Column, model: Column, msgs: Column) -> Column:
     return F.to_json(F.struct(custom_id.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body")), {"ignoreNullFields": "false"})
 
 
-def parts_line(key: Column, msgs: Column) -> Column:
-    """Request line, format B: roles ``user`` and ``model``, the system text in an object of its own."""
+def parts_line(key: Column, msgs: Column, mime: str = "text/plain") -> Column:
+    """Request line, format B: roles ``user`` and ``model``; a system text in an object of its own, with the generation's
+    configuration, and neither of these without one. Another role is an error."""
+    role = lambda m: F.when(m["role"] == "assistant", "model").when(m["role"] == "user", "user").otherwise(F.raise_error(F.concat(F.lit("no such role: "), F.coalesce(m["role"], F.lit("NULL")))))
     turns = F.transform(
-        F.filter(msgs, lambda m: m["role"] != "system"),
-        lambda m: F.struct(F.when(m["role"] == "assistant", "model").otherwise(m["role"]).alias("role"), F.array(F.struct(m["content"].alias("text"))).alias("parts")),
+        F.filter(msgs, lambda m: m["role"].isNull() | (m["role"] != "system")),
+        lambda m: F.struct(role(m).alias("role"), F.array(F.struct(F.coalesce(m["content"], F.lit("")).alias("text"))).alias("parts")),
+    )
+    system = F.transform(F.filter(msgs, lambda m: m["role"] == "system"), lambda m: F.struct(F.coalesce(m["content"], F.lit("")).alias("text")))
+    has = F.size(system) > 0
+    request = F.struct(
+        turns.alias("contents"), F.when(has, F.struct(system.alias("parts"))).alias("system_instruction"), F.when(has, F.struct(F.lit(mime).alias("response_mime_type"))).alias("generationConfig")
     )
-    system = F.transform(F.filter(msgs, lambda m: m["role"] == "system"), lambda m: F.struct(m["content"].alias("text")))
-    request = F.struct(turns.alias("contents"), F.struct(system.alias("parts")).alias("system_instruction"))
-    return F.to_json(F.struct(key.alias("id"), request.alias("request")), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(key.alias("id"), request.alias("request")))

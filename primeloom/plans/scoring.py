@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from primeloom.sources.schemas import PREDICTION, PREDICTION_FIELDS
+
 CAP = 40.0
 
 
@@ -53,6 +55,41 @@ def sub_scores(predictions: DataFrame, cap: float = CAP) -> DataFrame:
     return scored.withColumn("adj_score", F.when(raw.isNotNull(), F.least(F.lit(cap), raw)))
 
 
+def best_predictions(predictions: DataFrame) -> DataFrame:
+    """``grader, entry_id, model, passage_id, slot, p``: of a key graded more than once the most probable prediction."""
+    order = ("answer_logprob", "prediction", "is_match", "lines_removed", "answer_ranks")
+    top = F.max(F.struct(*order))
+    fields = F.struct(*[F.col(f"t.{c}").cast(k).alias(c) for c, k in PREDICTION_FIELDS.items()])
+    keys = ("grader", "entry_id", "model", "passage_id", "slot")
+    return predictions.withColumn("model", model_key()).groupBy(*keys).agg(top.alias("t")).select(*keys, fields.alias("p"))
+
+
+def score_details(predictions: DataFrame) -> DataFrame:
+    """``sub_scores`` with the predictions they come from: ``baselines``, ``exp_baselines`` by passage, and for each passage the
+    graded shortenings of the explication (``minimality``) and of the passage (``entailments``), none where there are none.
+
+    The predictions of one entry, grader and model meet in one row; its passages bound them.
+    """
+    best = best_predictions(predictions)
+    slot = F.col("slot")
+    by_passage = best.where("slot BETWEEN 0 AND 4 AND model IS NOT NULL").groupBy("grader", "entry_id", "model", "passage_id").agg(
+        *[F.max(F.when(slot == i, F.col("p"))).alias(f"p{i}") for i in range(5)]
+    )
+    base = best.where("slot = -1").groupBy("grader", "entry_id").agg(F.array_sort(F.collect_list(F.struct("passage_id", "p"))).alias("b"))
+    graded = lambda *places: F.filter(F.array(*[F.col(f"p{i}") for i in places]), lambda p: p.isNotNull())
+    row = F.struct("passage_id", F.col("p0").alias("own"), graded(1, 2).alias("shorter"), graded(3, 4).alias("less"))
+    listed = by_passage.groupBy("grader", "entry_id", "model").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    none = F.array().cast(f"array<{PREDICTION}>")
+    joined = sub_scores(predictions).join(listed, ["grader", "entry_id", "model"]).join(base, ["grader", "entry_id"], "left")
+    return joined.select(
+        "grader", "entry_id", "model", "avg_delta_log", "avg_min_delta_log", "avg_ent_delta_log", "adj_score", "total_match",
+        F.coalesce(F.transform("b", lambda x: x["p"]), none).alias("baselines"),
+        F.transform(F.filter("r", lambda x: x["own"].isNotNull()), lambda x: x["own"]).alias("exp_baselines"),
+        F.transform("r", lambda x: x["shorter"]).alias("minimality"),
+        F.transform("r", lambda x: x["less"]).alias("entailments"),
+    )
+
+
 def legality_total(score: Column, primes: Column, molecules: Column, circular: Column) -> Column:
     return F.when(F.coalesce(circular, F.lit(False)), 0.0).otherwise(2 * (score + 10 * primes - 10 * molecules))
 

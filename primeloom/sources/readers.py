@@ -6,10 +6,10 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeloom.sources.schemas import EXPLICATION, SCHEMAS
+from primeloom.sources.schemas import EXPLICATION, EXPLICATION_FIELDS, MODEL, MODEL_FIELDS, PREDICTION, SCHEMAS, SUB_SCORE
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,17 +36,62 @@ def few_shot_bank(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.posexplode("pairs").alias("ord", "p")).select("ord", F.get("p", F.lit(0)).alias("user"), F.get("p", F.lit(1)).alias("assistant"))
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
+def results(spark: SparkSession, path: str, swapped: bool = True) -> DataFrame:
     """``model, place, explication`` of result files: JSON objects of model name to ``{"explications": [...]}``.
 
-    Keys that hold no object (run metadata) are left out.
+    Keys that hold no object (run metadata) are left out. ``swapped``: the file has the two partial deltas exchanged.
     """
-    kind = f"map<string,struct<explications:array<{EXPLICATION}>>>"
     raw = spark.read.text(path, wholetext=True)
     # metadata values aren't objects: each key's value is parsed on its own
     keyed = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("model", "body")).where(F.col("body").startswith("{"))
-    parsed = keyed.select("model", F.from_json("body", kind.removeprefix("map<string,").removesuffix(">")).alias("r"))
-    return parsed.select("model", F.posexplode("r.explications").alias("place", "explication"))
+    parsed = keyed.select("model", F.from_json("body", f"struct<explications:array<{EXPLICATION}>>").alias("r"))
+    return parsed.select("model", F.posexplode("r.explications").alias("place", "explication")).withColumn("explication", _ordered("explication", swapped))
+
+
+def model_results(spark: SparkSession, path: str) -> DataFrame:
+    """The averages of each model of result files, as columns."""
+    raw = spark.read.text(path, wholetext=True)
+    keyed = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "body")).where(F.col("body").startswith("{"))
+    return keyed.select("name", F.from_json("body", MODEL).alias("m")).select(F.coalesce("m.model", "name").alias("model"), *[f"m.{c}" for c in MODEL_FIELDS if c != "model"])
+
+
+def result_lines(spark: SparkSession, path: str, swapped: bool = False) -> DataFrame:
+    """``model, explication`` of the JSON lines ``sinks.write_results`` writes."""
+    rows = spark.read.schema("value string, model string").text(f"{path}/explications")
+    return rows.select("model", F.from_json("value", EXPLICATION).alias("explication")).withColumn("explication", _ordered("explication", swapped))
+
+
+def _ordered(column: str, swapped: bool) -> Column:
+    other = {"avg_delta_min": "avg_delta_ent", "avg_delta_ent": "avg_delta_min"} if swapped else {}
+    made = F.struct(*[F.col(f"{column}.{other.get(c, c)}").alias(c) for c in EXPLICATION_FIELDS])
+    return F.when(F.col(column).isNotNull(), made)
+
+
+def read_prediction(json_text: Column) -> Column:
+    """A prediction from JSON; what it lacks is "", 0, none, false."""
+    return prediction_defaults(F.from_json(json_text, PREDICTION))
+
+
+def prediction_defaults(p: Column) -> Column:
+    return F.struct(
+        F.coalesce(p["prediction"], F.lit("")).alias("prediction"),
+        F.coalesce(p["answer_logprob"], F.lit(0.0)).alias("answer_logprob"),
+        F.coalesce(p["answer_ranks"], F.array().cast("array<int>")).alias("answer_ranks"),
+        F.coalesce(p["is_match"], F.lit(False)).alias("is_match"),
+        F.coalesce(p["lines_removed"], F.lit(0)).alias("lines_removed"),
+    )
+
+
+def read_sub_score(json_text: Column) -> Column:
+    """A score of one grader from JSON; what it lacks is 0 or none, and so in its predictions."""
+    s = F.from_json(json_text, SUB_SCORE)
+    flat = lambda c: F.transform(F.coalesce(s[c], F.array().cast(f"array<{PREDICTION}>")), prediction_defaults)
+    pairs = lambda c: F.transform(F.coalesce(s[c], F.array().cast(f"array<array<{PREDICTION}>>")), lambda x: F.transform(x, prediction_defaults))
+    numbers = [F.coalesce(s[c], F.lit(0.0)).alias(c) for c in ("adj_score", "avg_delta_log", "avg_min_delta_log", "avg_ent_delta_log")]
+    return F.struct(
+        s["model"].alias("model"), *numbers, F.coalesce(s["total_match"], F.lit(0)).alias("total_match"),
+        flat("baselines").alias("baselines"), flat("exp_baselines").alias("exp_baselines"), pairs("minimality").alias("minimality"), pairs("entailments").alias("entailments"),
+    )
 
 
 @dataclass(frozen=True)

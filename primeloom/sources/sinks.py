@@ -1,41 +1,113 @@
-"""Writers and serialised forms: nested results, request lines, reports."""
+"""Writers and serialised forms: predictions, scores, explications and models as JSON, request lines, reports."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from primeloom.sources.schemas import EXPLICATION_FIELDS, MODEL_FIELDS, PREDICTION_FIELDS, SUB_SCORE_FIELDS
+
+_ALL = {"ignoreNullFields": "false"}
+
+
+def typed(fields: Mapping[str, str], have: Mapping[str, Column] | None = None) -> Column:
+    """A struct of the fields from columns of their names, or as ``have`` names them; NULL where it says so."""
+    own = have or {}
+    return F.struct(*[own.get(n, F.col(n)).cast(t).alias(n) for n, t in fields.items()])
+
+
+def prediction() -> Column:
+    return typed(PREDICTION_FIELDS)
+
+
+def prediction_json() -> Column:
+    return F.to_json(prediction(), _ALL)
+
+
+def sub_score_json() -> Column:
+    return F.to_json(typed(SUB_SCORE_FIELDS), _ALL)
+
+
+def explication(have: Mapping[str, Column] | None = None, swapped: bool = False) -> Column:
+    """``swapped`` exchanges the two partial deltas, as older result files have them."""
+    other = {"avg_delta_min": F.col("avg_delta_ent"), "avg_delta_ent": F.col("avg_delta_min")} if swapped else {}
+    return typed(EXPLICATION_FIELDS, {**other, **(have or {})})
+
+
+def explication_json(have: Mapping[str, Column] | None = None, swapped: bool = False) -> Column:
+    return F.to_json(explication(have, swapped), _ALL)
+
 
-def explication_json(swapped: bool = False, fields: tuple[str, ...] = ("text", "target_word", "length", "avg_delta", "avg_delta_min", "avg_delta_ent")) -> Column:
-    """An explication as JSON. ``swapped`` exchanges the two partial deltas, as older result files have them."""
-    source = {"avg_delta_min": "avg_delta_ent", "avg_delta_ent": "avg_delta_min"} if swapped else {}
-    return F.to_json(F.struct(*[F.col(source.get(c, c)).alias(c) for c in fields]), {"ignoreNullFields": "false"})
+def model_json(have: Mapping[str, Column] | None = None) -> Column:
+    return F.to_json(typed(MODEL_FIELDS, have), _ALL)
 
 
 def prediction_text() -> Column:
     return F.format_string("%s (log-prob %.4f, match %s)", F.coalesce("prediction", F.lit("")), F.coalesce("answer_logprob", F.lit(0.0)), F.coalesce("is_match", F.lit(False)).cast("string"))
 
 
-def result_rows(scored: DataFrame) -> DataFrame:
-    """``model, value``: one JSON object per model with its explications in the order of entry and id.
+def prediction_line() -> Column:
+    """All of a prediction in one line, for a reader."""
+    ranks = F.concat(F.lit("["), F.array_join(F.coalesce("answer_ranks", F.array().cast("array<int>")), ", "), F.lit("]"))
+    match = F.when(F.coalesce("is_match", F.lit(False)), "yes").otherwise("no")
+    return F.format_string(
+        "word %s; log-prob %.4f; ranks %s; match %s; lines removed %d",
+        F.coalesce("prediction", F.lit("")), F.coalesce("answer_logprob", F.lit(0.0)), ranks, match, F.coalesce("lines_removed", F.lit(0)),
+    )
 
-    A model's explications meet in one row, as the file format asks; this is for export of evaluation results, not for bulk data.
-    """
-    fields = F.struct("text", "target_word", "length", "primes", "stop_words", "molecules", "avg_delta", "avg_delta_min", "avg_delta_ent", "total_score", "bleu_scores")
-    listed = scored.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("entry_id", "expl_id", fields.alias("x")))).alias("all"))
-    inner = F.struct(F.transform("all", lambda e: e["x"]).alias("explications"))
-    return listed.select("model", F.to_json(inner, {"ignoreNullFields": "false"}).alias("value"))
+
+def result_lines(scored: DataFrame, swapped: bool = False, have: Mapping[str, Column] | None = None) -> DataFrame:
+    """``model, value``: one JSON line an explication; any number of them, in any number of tasks."""
+    return scored.select("model", explication_json(have, swapped).alias("value"))
+
+
+def model_lines(models: DataFrame, have: Mapping[str, Column] | None = None) -> DataFrame:
+    """``model, value``: one JSON line a model, its averages without its explications."""
+    return models.select("model", model_json(have).alias("value"))
 
 
-def write_results(scored: DataFrame, path: str, graders: list[str], languages: list[str]) -> None:
-    """Result lines by model, and the run's metadata beside them in a table of its own."""
-    result_rows(scored).write.mode("overwrite").partitionBy("model").text(f"{path}/results")
+def write_results(scored: DataFrame, models: DataFrame, path: str, graders: list[str], languages: list[str]) -> None:
+    """A run: explications and averages as JSON lines by model, and the run's metadata beside them.
+
+    ``scored`` and ``models`` hold the columns of ``EXPLICATION_FIELDS`` and ``MODEL_FIELDS``.
+    """
+    result_lines(scored).write.mode("overwrite").partitionBy("model").text(f"{path}/explications")
+    model_lines(models).write.mode("overwrite").partitionBy("model").text(f"{path}/models")
     spark = scored.sparkSession
     spark.range(1).select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd_HH-mm-ss").alias("timestamp"), F.array(*map(F.lit, graders)).alias("graders"), F.array(*map(F.lit, languages)).alias("languages")
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd_HH-mm-ss").alias("timestamp"),
+        F.array(*map(F.lit, graders)).cast("array<string>").alias("graders"),
+        F.array(*map(F.lit, languages)).cast("array<string>").alias("languages"),
     ).write.mode("overwrite").json(f"{path}/metadata")
 
 
+def result_file(scored: DataFrame, models: DataFrame, path: str, graders: list[str], languages: list[str], swapped: bool = True) -> None:
+    """One JSON object of a run as other tools read it: a key for each model, and ``timestamp``, ``graders``, ``languages``.
+
+    The format holds a run in one line, so this is an export of an evaluation's result; bulk data goes through ``write_results``.
+    """
+    listed = scored.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("entry_id", "expl_id", explication(swapped=swapped).alias("x")))).alias("_all"))
+    each = models.join(listed, "model").select(
+        F.format_string(
+            '%s:%s,"explications":%s}', F.to_json(F.array("model")).substr(F.lit(2), F.length(F.to_json(F.array("model"))) - 2),
+            F.regexp_replace(model_json(), r"\}$", ""), F.to_json(F.transform("_all", lambda e: e["x"]), _ALL),
+        ).alias("v")
+    )
+    meta = F.to_json(
+        F.struct(
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd_HH-mm-ss").alias("timestamp"),
+            F.array(*map(F.lit, graders)).cast("array<string>").alias("graders"),
+            F.array(*map(F.lit, languages)).cast("array<string>").alias("languages"),
+        )
+    )
+    whole = each.agg(F.array_join(F.collect_list("v"), ",").alias("v")).select(
+        F.concat(F.lit("{"), F.when(F.col("v") != "", F.concat("v", F.lit(","))).otherwise(""), meta.substr(F.lit(2), F.length(meta) - 1)).alias("value")
+    )
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def publish(data: DataFrame, path: str, message: str) -> None:
     """The table as Parquet by split, and a note of what was published."""
     data.write.mode("overwrite").partitionBy("split").parquet(f"{path}/data")
@@ -49,3 +121,12 @@ def lines(rows: DataFrame, column: str, path: str) -> None:
 
 def model_report() -> Column:
     return F.format_string("%s: total %.2f, primes %.3f, molecules %.3f", F.col("model"), F.col("avg_total_score"), F.col("avg_primes_ratio"), F.col("avg_molecules_ratio"))
+
+
+def language_report() -> Column:
+    """The means of one model and language in one line."""
+    return F.format_string("[%s] %s: BLEU %.2f, embedding %.2f, metric %.2f", F.col("lang"), F.col("model"), F.col("avg_bleu"), F.col("avg_embed"), F.col("avg_metric"))
+
+
+def deviation_report() -> Column:
+    return F.format_string("%s, %s: deviation %.4f, error bar %.4f", F.col("model"), F.col("measure"), F.col("std"), F.col("bar"))

@@ -2,12 +2,14 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from primeloom.functions import logits as G
 from primeloom.operators import bleu, plugins
 from primeloom.plans import dispersion as D
 from primeloom.plans import fanout, scoring
+from primeloom.plans import translation as R
 
 SCHEMA = "grader string, entry_id long, model string, passage_id int, slot int, answer_logprob double, is_match boolean"
 
@@ -71,10 +73,30 @@ def test_logits(spark):
 
 def test_bleu(spark):
     rows = [(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "a b", "c d"), (3, "", "a"), (4, "the cat", "the cat sat down"), (5, None, None)]
-    got = {r.k: r.bleu for r in bleu.sentence_bleu(spark.createDataFrame(rows, "k int, h string, r string"), "k", "h", "r").collect()}
+    got = {r.k: r.bleu for r in bleu.sentence_bleu(spark.createDataFrame(rows, "k int, h string, r string"), "h", "r").collect()}
     assert abs(got[1] - 100) < 1e-9 and got[2] == 0 and got[3] == 0 and abs(got[4] - 100 * np.exp(-1)) < 1e-9 and got[5] == 0
 
 
+def test_words_of_several_tokens(spark):
+    steps = [[2.0, 1.0, 0.0], [0.0, 0.0, 3.0]]
+    rows = [(1, steps, [0, 2], [1, 0]), (2, steps, [1], [0]), (3, steps, [0, 2, 1], [0]), (4, steps, [], [1])]
+    df = spark.createDataFrame(rows, "k int, steps array<array<double>>, lower array<int>, capital array<int>")
+    got = {r.k: r.g for r in df.select("k", G.graded_word(F.col("steps"), F.col("lower"), F.col("capital")).alias("g")).collect()}
+    one, two = (x - np.log(np.exp(x).sum()) for x in (np.array(s) for s in steps))
+    assert got[1].form == "lower" and abs(got[1].answer_logprob - (one[0] + two[2])) < 1e-12 and got[1].answer_ranks == [1, 1] and got[1].is_match
+    assert got[2].form == "capital" and abs(got[2].answer_logprob - one[0]) < 1e-12 and not got[2].is_match  # two tokens were made, one is asked
+    assert got[3].form == "capital" and got[4].form == "capital"
+
+
+def test_round_trip_scores(spark):
+    texts = spark.createDataFrame([(1, "m", "this thing"), (2, "m", None)], "expl_id long, model string, text string")
+    scored = R.scores(R.round_trip(texts, ["de", "xx"], plugins.fake_translator, 1), plugins.fake_embedder, plugins.fake_metric)
+    got = {(r.expl_id, r.lang): r for r in scored.collect()}
+    assert got[1, "de"].back == "that thing" and got[1, "xx"].back == "" and got[1, "xx"].bleu == 0 and got[1, "xx"].embed == 0 and got[2, "de"].metric == 1.0
+    assert len(R.arrays(scored).where("expl_id = 1").first().bleu_scores) == 2
+    assert R.round_trip(texts, [], plugins.fake_translator).count() == 0
+
+
 def test_dispersion_and_splice(spark):
     r = D.deviations(spark.createDataFrame([("m", 1.0), ("m", 2.0), ("m", 4.0)], "model string, v double"), "model", ["v"]).first()
     assert abs(r.v_std - 1.247219128924647) < 1e-12 and abs(r.v_bar - 0.008370598) < 1e-8
@@ -94,3 +116,16 @@ def test_plugins(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+@pytest.mark.parametrize("wrong", [{"max_new_tokens": 0}, {"top_k": -1}, {"top_p": 0.0}, {"temperature": 0.0}])
+def test_decoding_is_checked(wrong):
+    with pytest.raises(ValueError):
+        plugins.Decoding(**wrong)
+    assert plugins.GREEDY.max_new_tokens == 512
+
+
+def test_position_deviations(spark):
+    df = spark.createDataFrame([("m", [1.0, 5.0]), ("m", [3.0]), ("m", None)], "model string, b array<double>")
+    got = {r.position: (r.std, r.bar) for r in D.position_deviations(df, "model", {"bleu": "b"}, (0, 1, 7), 2.0).collect()}
+    assert got == {0: (1.0, 0.5), 1: (0.0, 0.0)}

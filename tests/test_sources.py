@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from primeloom.functions import text as X
 from primeloom.plans import prompts
 from primeloom.sources import readers, sinks
+from primeloom.sources import schemas as C
 from primeloom.streaming import scoring as S
 
 
@@ -16,14 +16,45 @@ def test_result_files_round_trip(spark, tmp_path):
     assert got == [("m1", 0, "a", 1.5), ("m1", 1, "b", None)]
 
 
+def run(spark):
+    """Explications and models with all fields of a result file, most of them NULL."""
+    fields = ", ".join(f"{n} {t}" for n, t in C.EXPLICATION_FIELDS.items())
+    own = {"text": "t", "target_word": "w", "avg_delta_min": 0.2, "avg_delta_ent": 0.3, "total_score": 4.5, "bleu_scores": [1.0]}
+    rows = [("m \"q\"", e, 5 - e, *({**own, "text": f"t{e}"}.get(c) for c in C.EXPLICATION_FIELDS)) for e in (2, 1)]
+    models = spark.createDataFrame([tuple({"model": "m \"q\"", "avg_total_score": 4.5}.get(c) for c in C.MODEL_FIELDS)], ", ".join(f"{n} {t}" for n, t in C.MODEL_FIELDS.items()))
+    return spark.createDataFrame(rows, f"model string, entry_id long, expl_id long, {fields}"), models
+
+
 def test_write_results(spark, tmp_path):
-    row = ("m", 1, 5, "t", "w", 1, 1, 0, 0, 0.1, 0.2, 0.3, 4.5, [1.0])
-    df = spark.createDataFrame([row], "model string, entry_id long, expl_id long, text string, target_word string, length long, primes long, stop_words long, molecules long, avg_delta double, avg_delta_min double, avg_delta_ent double, total_score double, bleu_scores array<double>")
-    sinks.write_results(df, str(tmp_path / "out"), ["g"], ["de"])
-    assert json.loads(spark.read.text(str(tmp_path / "out/results")).first().value)["explications"][0]["total_score"] == 4.5
+    scored, models = run(spark)
+    sinks.write_results(scored, models, str(tmp_path / "out"), ["g"], ["de"])
+    back = readers.result_lines(spark, str(tmp_path / "out")).select("model", "explication.*")
+    assert {(r.model, r.text, r.avg_delta_min, r.total_score) for r in back.collect()} == {('m "q"', "t1", 0.2, 4.5), ('m "q"', "t2", 0.2, 4.5)}
     assert spark.read.json(str(tmp_path / "out/metadata")).first().languages == ["de"]
 
 
+def test_result_file_is_one_json_object(spark, tmp_path):
+    sinks.result_file(*run(spark), str(tmp_path / "file"), ["g"], [])
+    whole = json.loads(spark.read.text(str(tmp_path / "file")).first().value)
+    assert set(whole) == {'m "q"', "timestamp", "graders", "languages"} and whole["graders"] == ["g"]
+    body = whole['m "q"']
+    assert [e["text"] for e in body["explications"]] == ["t1", "t2"] and body["avg_total_score"] == 4.5
+    assert set(body) == set(C.MODEL_FIELDS) | {"explications"} and set(body["explications"][0]) == set(C.EXPLICATION_FIELDS)
+    assert (body["explications"][0]["avg_delta_min"], body["explications"][0]["avg_delta_ent"]) == (0.3, 0.2)  # exchanged in the file
+    first = readers.results(spark, str(tmp_path / "file")).where("place = 0").first().explication
+    assert (first.avg_delta_min, first.avg_delta_ent) == (0.2, 0.3)
+    assert readers.model_results(spark, str(tmp_path / "file")).first().avg_total_score == 4.5
+    sinks.result_file(run(spark)[0].limit(0), run(spark)[1], str(tmp_path / "none"), [], ["de"])
+    assert set(json.loads(spark.read.text(str(tmp_path / "none")).first().value)) == {"timestamp", "graders", "languages"}
+
+
+def test_missing_fields_have_defaults(spark):
+    df = spark.createDataFrame([('{"prediction": "w"}', '{"model": "m", "minimality": [[{}], []]}')], "p string, s string")
+    r = df.select(readers.read_prediction(F.col("p")).alias("p"), readers.read_sub_score(F.col("s")).alias("s")).first()
+    assert tuple(r.p) == ("w", 0.0, [], False, 0)
+    assert r.s.adj_score == 0 and r.s.total_match == 0 and r.s.baselines == [] and [[tuple(p) for p in x] for x in r.s.minimality] == [[("", 0.0, [], False, 0)], []]
+
+
 def test_few_shot_bank_config_and_publish(spark, tmp_path):
     (tmp_path / "bank.json").write_text(json.dumps([["u1", "a1"], ["u2", "a2"]]))
     assert [(r.ord, r.user, r.assistant) for r in readers.few_shot_bank(spark, str(tmp_path / "bank.json")).collect()] == [(0, "u1", "a1"), (1, "u2", "a2")]
@@ -44,8 +75,22 @@ def test_messages_and_lines(spark):
         assert one.select(F.size(prompts.messages(F.lit("s"), user, mode=mode)).alias("n")).first().n == n
     line = json.loads(one.select(prompts.parts_line(F.lit("k"), prompts.messages(F.lit("s"), user)).alias("x")).first().x)
     assert line["request"]["system_instruction"]["parts"][0]["text"] == "s" and line["request"]["contents"][0]["role"] == "user"
+    assert line["request"]["generationConfig"]["response_mime_type"] == "text/plain"
+    plain = json.loads(one.select(prompts.parts_line(F.lit("k"), prompts.messages(F.lit("s"), user, mode="emulated")).alias("x")).first().x)
+    assert set(plain["request"]) == {"contents"} and [t["role"] for t in plain["request"]["contents"]] == ["user", "model", "user"]
+    assert one.select(prompts.messages(F.lit(None).cast("string"), user).alias("m")).first().m[0].role == "user"
     with pytest.raises(ValueError):
         prompts.messages(F.lit("s"), user, mode="other")
+    with pytest.raises(Exception, match="no such role"):
+        one.select(prompts.parts_line(F.lit("k"), F.array(prompts.message("tool", user)))).collect()
+
+
+def test_mode_of_each_grader(spark):
+    rows = [("acme/Gemma", -1, "native"), ("acme/Gemma", 0, "emulated"), ("acme/gemma", -1, "emulated"), ("other", 2, "native")]
+    df = spark.createDataFrame(rows, "grader string, slot int, want string")
+    msgs = prompts.messages(F.lit("s"), F.lit("u"), mode=prompts.grader_mode(F.col("grader"), F.col("slot")))
+    for r in df.select("want", msgs.alias("m")).collect():
+        assert [m.role for m in r.m] == (["system", "user"] if r.want == "native" else ["user", "assistant", "user"])
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -57,4 +102,3 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted((r.expl_id, r.model, r.length, r.primes) for r in spark.table("legality").collect())
     assert got == [(1, "m", 3, 3), (2, "m", 1, 0)]
-    assert X.tokens is not None
