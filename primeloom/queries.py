@@ -613,9 +613,9 @@ def ag_translation_means(spark: SparkSession, d: str) -> DataFrame:
     return R.means(_translated(spark, d)).select("model", "lang_ord", "lang", *[F.round(f"avg_{c}", 6).alias(f"avg_{c}") for c in R.METRICS])
 
 
-@_query(f"WITH {_TS} SELECT expl_id, string_agg(printf('%.4f', bleu), ' ' ORDER BY lang_ord) AS bleu_scores, string_agg(printf('%.4f', embed), ' ' ORDER BY lang_ord) AS embed_scores, string_agg(printf('%.4f', metric), ' ' ORDER BY lang_ord) AS comet_scores FROM ts GROUP BY expl_id")
+@_query(f"WITH {_TS} SELECT expl_id, string_agg(printf('%.9f', bleu), ' ' ORDER BY lang_ord) AS bleu_scores, string_agg(printf('%.9f', embed), ' ' ORDER BY lang_ord) AS embed_scores, string_agg(printf('%.9f', metric), ' ' ORDER BY lang_ord) AS comet_scores FROM ts GROUP BY expl_id")
 def ml_translation_arrays(spark: SparkSession, d: str) -> DataFrame:
-    shown = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.4f", v)), " ").alias(c)
+    shown = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.9f", v)), " ").alias(c)
     return R.arrays(_translated(spark, d)).select("expl_id", *[shown(c) for c in ("bleu_scores", "embed_scores", "comet_scores")])
 
 
