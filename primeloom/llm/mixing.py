@@ -93,30 +93,40 @@ def reachable(lengths: list[int], free: list[int], goal: int) -> dict[int, int]:
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take, once each at most, for a sum as near below ``budget`` as can be."""
+    """How many documents of each length to take, once each at most, for a sum as near below ``budget`` as can be.
+
+    A budget of up to 4 * ``window`` is met as nearly as any choice meets it. Of a larger one the lengths' proportions take all but
+    the last ``window`` tokens; where no choice among the documents still free meets these exactly, taken ones are
+    given back, until one does or 4 * ``window`` tokens are chosen anew.
+    """
     whole = int((lengths * counts).sum())
     if budget >= whole:
         return counts.copy()
-    taken = (counts * (budget / whole)).astype(np.int64) if whole else counts * 0
+    order = np.argsort(lengths, kind="stable")
+    lengths_, index = lengths[order].tolist(), {int(x): i for i, x in enumerate(lengths)}
+    taken = (counts * (max(budget - window, 0) / whole)).astype(np.int64) if budget > 4 * window else counts * 0
     left = budget - int((lengths * taken).sum())
-    # one more of each length where it fits, longest first, until the rest fits the table of sums
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= window:
+    while left > 2 * window and budget > 4 * window:  # what rounding down left over: one more of each length, longest first
+        before = left
+        for i in np.argsort(-lengths, kind="stable"):
+            more = min(int(counts[i] - taken[i]), max(left - window, 0) // int(lengths[i]), max(1, left // (2 * whole // max(len(lengths), 1) + 1)))
+            taken[i] += more
+            left -= more * int(lengths[i])
+        if left == before:
             break
-        more = min(int(counts[i] - taken[i]), max(left - window // 2, 0) // int(lengths[i]), 1)
-        taken[i] += more
-        left -= more * int(lengths[i])
-    while left > window:  # lengths with many free documents
-        i = int(np.argmax(np.where((counts > taken) & (lengths <= left), lengths * (counts - taken), 0)))
-        more = min(int(counts[i] - taken[i]), left // int(lengths[i]))
-        if more <= 0:
+    while True:
+        chosen = reachable(lengths_, (counts - taken)[order].tolist(), left if left <= 4 * window else 4 * window)
+        rest = left - sum(length * n for length, n in chosen.items())
+        give = np.flatnonzero(taken)
+        if rest == 0 or not len(give) or left >= 3 * window:
             break
-        taken[i] += more
-        left -= more * int(lengths[i])
-    order = np.argsort(lengths, kind="stable")
-    free = (counts - taken)[order].tolist()
-    for length, n in reachable(lengths[order].tolist(), free, min(left, 4 * window)).items():
-        taken[int(np.flatnonzero(lengths == length)[0])] += n
+        for i in give[np.argsort(-(lengths * (taken > 0))[give], kind="stable")]:
+            taken[i] -= 1
+            left += int(lengths[i])
+            if left >= 3 * window or rest == 0:
+                break
+    for length, n in chosen.items():
+        taken[index[length]] += n
     return taken
 
 

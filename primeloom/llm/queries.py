@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from primeloom.llm import answers, leaks, mixing, near_edits, reading_level, split_overlap, term_counts, truncated
 from primeloom.queries import words_sql
@@ -58,6 +59,12 @@ def oracle_sql() -> dict[str, str]:
         "e AS (SELECT DISTINCT i.class_id AS a, j.class_id AS b FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p) z JOIN k i ON i.row_id = z.x JOIN k j ON j.row_id = z.y WHERE i.class_id <> j.class_id) "
         "SELECT row_id, class_id, copies, (SELECT count(*) FROM e WHERE a = class_id) AS links FROM k",
         "p6_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM l",
+        "p6_removal_spans": f"WITH {_LEAKS}, w AS (SELECT doc_id, {words_sql('text')} AS ws FROM documents), "
+        "o AS (SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i + 2], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i) WHERE len(ws) >= 3), "
+        "c AS (SELECT o.doc_id, i.item_id, pos FROM o JOIN i USING (g) JOIN l ON l.doc_id = o.doc_id AND l.item_id = i.item_id), "
+        "b AS (SELECT *, max(pos + 2) OVER (PARTITION BY doc_id ORDER BY pos, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c), "
+        "s AS (SELECT *, sum(CASE WHEN e IS NULL OR pos > e + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM b) "
+        "SELECT doc_id, min(pos)::INT AS first_word, (max(pos) + 2)::INT AS last_word, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items FROM s GROUP BY doc_id, s",
         "p6_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS documents, round(max(share), 6) AS best_share FROM l GROUP BY item_id",
     }
 
@@ -79,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": _on(answers.found, "nsm_dataset"),
         "p5_by_source": _on(answers.by_source, "nsm_dataset"),
         "p6_found": _on(leaks.found, "documents", "benchmark_items"),
-        "p6_removal_spans": _on(leaks.removal_spans, "documents", "benchmark_items"),
+        "p6_removal_spans": lambda spark, d: _on(leaks.removal_spans, "documents", "benchmark_items")(spark, d).withColumn("items", F.array_join("items", ",")),
         "p6_leaked_items": _on(leaks.leaked_items, "documents", "benchmark_items"),
         "p7_mixture": _on(mixing.mixture, "documents", "mix_targets"),
         "p7_shares": _on(mixing.shares, "documents", "mix_targets"),

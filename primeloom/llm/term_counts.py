@@ -24,7 +24,7 @@ from primeloom.llm import pairs as P
 from primeloom.llm import words as W
 
 RARE_BELOW, COMMON_ABOVE = 3, 0.25
-#: terms a task holds before it sends them on; texts from which the bounds of the ranges are taken (they only balance tasks)
+#: terms a task holds before it sends them on; about how many texts the bounds of the ranges are taken from (they only balance tasks)
 HELD, BOUND_TEXTS = 500_000, 2_000
 
 
@@ -35,12 +35,6 @@ def texts(explications: DataFrame, dataset: DataFrame) -> DataFrame:
     return one.select("text").unionAll(two.select("text"))
 
 
-def record_count(explications: DataFrame, dataset: DataFrame) -> DataFrame:
-    one = explications.where(F.col("text").isNotNull()).select(F.lit("e").alias("t"), F.col("expl_id").alias("id"))
-    two = dataset.where(F.col("explication").isNotNull()).select(F.lit("n").alias("t"), F.col("row_id").alias("id"))
-    return one.unionAll(two).where("id IS NOT NULL").distinct().agg(F.count(F.lit(1)).alias("total"))
-
-
 def scan_runs(said: list[list[str]], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (term, record) pairs of some records, scanned: term numbers, occurrences, distinct records."""
     counts = np.fromiter(map(len, said), np.int64, len(said))
@@ -56,7 +50,8 @@ def scan_runs(said: list[list[str]], numbers: dict[str, int]) -> tuple[np.ndarra
 def count_terms(said: DataFrame, bound_texts: int = BOUND_TEXTS) -> DataFrame:
     """``term, occurrences, records`` of every word of the column ``text``."""
     n = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = sorted({w for (t,) in said.limit(bound_texts).collect() for w in W.words(t)})
+    part = min(1.0, bound_texts / max(said.count(), 1))
+    seen = sorted({w for (t,) in said.sample(part, 7).collect() for w in W.words(t)})  # from all partitions alike
     bounds = [seen[len(seen) * i // n] for i in range(1, n)] if len(seen) >= n else []
 
     def send(held: dict[str, list[int]]) -> pa.RecordBatch:
@@ -116,10 +111,9 @@ def _rows(rows: list[list]) -> pa.RecordBatch:
 
 def terms(explications: DataFrame, dataset: DataFrame, rare_below: int = RARE_BELOW, common_above: float = COMMON_ABOVE) -> DataFrame:
     """``term, occurrences, records, mark`` (``rare``, ``common`` or NULL) of every distinct word."""
-    counted = count_terms(texts(explications, dataset))
-    marked = counted.crossJoin(F.broadcast(record_count(explications, dataset)))  # one row
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * F.col("total"), "common")
-    return marked.select("term", "occurrences", "records", mark.alias("mark"))
+    said = P.stored(texts(explications, dataset))
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * said.count(), "common")
+    return count_terms(said).select("term", "occurrences", "records", mark.alias("mark"))
 
 
 def found(explications: DataFrame, dataset: DataFrame) -> DataFrame:

@@ -75,13 +75,32 @@ def test_leaks_equal_brute_force(frame, monkeypatch):
     df, it = frame("documents", docs), frame("benchmark_items", items)
     got = [tuple(r) for r in K.found(df, it).collect()]
     assert set(got) == want and len(got) == len(want)
-    assert {tuple(r) for r in K.leaks(df, it, block=7).select("doc_id", "item_id").collect()} == want
+    monkeypatch.setattr(K, "SLICE", 50)
+    for words in (dict(block_words=60), dict(pass_words=120, block_words=50)):
+        assert {tuple(r) for r in K.leaks(df, it, **words).select("doc_id", "item_id").collect()} == want
+    covered = {}
+    for d, i in want:
+        said, own = W.words(next(x["text"] for x in docs if x["doc_id"] == d)), W.shingle_set(W.words(items[i]["text"]), 3)
+        for p in range(len(said) - 2):
+            if tuple(said[p : p + 3]) in own:
+                for w in (p, p + 1, p + 2):
+                    covered.setdefault((d, w), set()).add(i)
+    got = {}
     for r in K.removal_spans(df, it).collect():
-        assert 0 <= r.first_word <= r.last_word and r["items"]
+        assert not any((r.doc_id, w) in covered for w in (r.first_word - 1, r.last_word + 1))
+        assert set(r["items"]) == set().union(*(covered[r.doc_id, w] for w in range(r.first_word, r.last_word + 1)))
+        got |= {(r.doc_id, w): 1 for w in range(r.first_word, r.last_word + 1)}
+    assert set(got) == set(covered)
     for a, b in ((df, frame("benchmark_items", [])), (frame("documents", []), it)):
         assert K.found(a, b).count() == K.leaked_items(a, b).count() == K.removal_spans(a, b).count() == 0
 
 
+def test_a_phrase_that_all_items_hold(frame):
+    items = [{"item_id": i, "text": f"the same opening words item{i} goes on like this{i} here"} for i in range(500)]
+    docs = [{"doc_id": d, "text": " and ".join(["the same opening words"] * 40)} for d in range(30)] + [{"doc_id": 100, "text": "x " + items[7]["text"]}]
+    assert [tuple(r) for r in K.found(frame("documents", docs), frame("benchmark_items", items)).collect()] == [(100, 7)]
+
+
 # ---- truncation and answers
 
 LINES = ["it is like a weary cobweb, but it is not heavy", "someone small wants a painted ring", "people can do many things with a shallow flask", "this thing is above this place and dry", "because of this, someone can feel something bad"]
@@ -213,8 +232,8 @@ def test_budget_is_met_where_it_can_be(seed):
             taken = M.fit_budget(lengths, counts, budget, window)
             total = int((taken * lengths).sum())
             assert (taken >= 0).all() and (taken <= counts).all() and total <= budget
-            if window > 40:
-                assert budget - total <= budget - max(s for s in sums if s <= budget) + lengths.max()
+            nearest = max(s for s in sums if s <= budget)
+            assert total == nearest if budget <= 4 * window else total >= nearest - lengths.max()
 
 
 def test_mixture(frame):
@@ -278,7 +297,19 @@ def test_levels(frame):
 
 def test_coverage_rank():
     ranks, group = np.array([0, 5, 9, 1, 2, 3, 4, 100]), np.array([0, 0, 0, 1, 1, 1, 1, 1])
-    assert R.coverage_rank(ranks, group).tolist() == [10, 5]
+    assert R.coverage_rank(ranks, group).tolist() == [9, 4]
+
+
+def test_ranks_beyond_the_table_are_exact(spark):
+    rng = random.Random(5)
+    texts = [" ".join(" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(4, 14))).capitalize() + "." for _ in range(9)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = R.word_ranks(docs)
+    counts = Counter(w for t in texts for w in W.words(t))
+    want = {w: sum(m >= n for m in counts.values()) for w, n in counts.items()}
+    assert {r.word: r["rank"] for r in ranks.collect()} == want
+    rows = lambda ranked: {r.doc_id: (r.doc_rank, [tuple(s) for s in r.sentences]) for r in R.sentence_measures(docs, ranks, 10, ranked).collect()}
+    assert rows(10) == rows(60) == rows(50_000)
 
 
 def test_last_delivery_counts(frame):
