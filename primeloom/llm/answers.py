@@ -56,6 +56,8 @@ _REFUSAL, _SORRY, _OBJECT, _ASK, _FIRST = (re.compile(x) for x in (REFUSAL_CUES,
 _QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|(?<!\w)\"[^\"]*(?:\"|$)")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”)]?\s+|\n+")
 _DECORATION = re.compile(r"\s*(?:\(\w+\)|[:;]-?[)D])\s*$")
+#: most words of a text that is nothing but labels and placeholders
+LONGEST_EMPTY = max(len(x.split()) for x in _PLACEHOLDERS) + 8
 LEAST_ENGLISH_OF, LEAST_ENGLISH = 6, 0.15  # words from which an answer's share of English function words tells, and that share
 COPY_LEFT = 0.35  # part of a response's own compressed size that may be left once its prompt is known
 STRANGE = 0.6  # part of a response in words its prompt lacks from which no copy is looked for: such words hardly compress
@@ -69,25 +71,27 @@ def body(text: str) -> str:
     return _DECORATION.sub("", text).strip()
 
 
-def is_empty(text: str | None) -> bool:
-    said = " ".join(W.words((text or "").replace("/", " ").replace("_", " ")))
-    if not said or said in _PLACEHOLDERS:
+def is_empty(text: str | None, said: list[str] | None = None) -> bool:
+    """``said``: the text's words, where they are at hand."""
+    if said is not None and len(said) > LONGEST_EMPTY:
+        return False
+    plain = " ".join(W.words((text or "").replace("/", " ").replace("_", " ")))
+    if not plain or plain in _PLACEHOLDERS:
         return True
     left = " ".join(W.words(body(text or "").replace("/", " ").replace("_", " ")))
     return not left or left in _PLACEHOLDERS
 
 
-def other_language(text: str) -> bool:
+def other_language(text: str, plain: list[str] | None = None) -> bool:
     """Whether most of the text is in another language: by function words, or by letters that English doesn't use."""
+    if plain and sum(w in _TABLE["en"] for w in plain) >= 0.55 * len(plain):
+        return False  # no other language can have more than 1.5 times as many, and such words are spelt with English letters
     said = W.words(body(text).replace("’", " ").replace("'", " "))
     letters = [c for c in text if c.isalpha()]
     if letters and sum(c > "ɏ" for c in letters) * 2 > len(letters):
         return True
     if len(said) < 3:
         return False
-    english = sum(w in _TABLE["en"] for w in said)
-    if english >= 0.5 * len(said):
-        return False  # no other language can have more than 1.5 times as many
     hits = {lang: sum(w in table for w in said) for lang, table in _TABLE.items()}
     most = max(n for lang, n in hits.items() if lang != "en")
     if most > 1.5 * hits["en"] and most >= 0.25 * len(said):
@@ -149,9 +153,10 @@ def is_copy(word: str | None, examples: list[str | None] | None, text: str) -> b
 
 def label(word: str | None, examples: list[str | None] | None, text: str | None) -> str | None:
     """``empty``, ``language``, ``refusal``, ``copy`` or None."""
-    if is_empty(text):
+    plain = W.words(text)
+    if is_empty(text, plain):
         return "empty"
-    if other_language(text):
+    if other_language(text, plain):
         # an example or a word given back is a copy in whatever language it may be
         return "copy" if is_copy(word, examples, text) else "language"
     if is_refusal(text):
