@@ -164,15 +164,16 @@ def label(word: str | None, examples: list[str | None] | None, text: str | None)
     return "copy" if is_copy(word, examples, text) else None
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """``id, defect`` (NULL where none of the four holds) of rows with ``id, word, examples, text``."""
+def labelled(rows: DataFrame, *carried: str) -> DataFrame:
+    """``id``, the columns named and ``defect`` (NULL where none of the four holds) of rows with ``id, word, examples, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [label(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["id", "defect"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[4:], pa.array(got, pa.string())], ["id", *carried, "defect"])
 
-    return rows.select("id", "word", "examples", "text").mapInArrow(run, "id long, defect string")
+    kinds = dict(rows.dtypes)
+    return rows.select("id", "word", "examples", "text", *carried).mapInArrow(run, f"id long, {''.join(f'{c} {kinds[c]}, ' for c in carried)}defect string")
 
 
 def defects(dataset: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def defects(dataset: DataFrame) -> DataFrame:
     rows = P.latest(dataset, "row_id", F.lower(F.trim("source")).alias("source"), "word", "examples", F.col("explication").alias("text")).withColumnRenamed("row_id", "id")
     held = truncated.prepared(rows)
     cut = truncated.cut_ends(held).select("id", F.lit(True).alias("cut"))
-    named = held.select("id", "source").join(labelled(held), "id").join(cut, "id", "left")
+    named = labelled(held, "source").join(cut, "id", "left")
     return named.select(F.col("id").alias("row_id"), "source", F.coalesce("defect", F.when(F.col("cut"), "truncated")).alias("defect"))
 
 
