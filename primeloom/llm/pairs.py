@@ -44,10 +44,11 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, records.drop("text").join(first, "digest").drop("digest")
 
 
-def meetings(rows: DataFrame, also: str = "true") -> DataFrame:
+def meetings(rows: DataFrame, also: str = "true", asking: str | None = None) -> DataFrame:
     """Every two members of a bucket, once a bucket: structs ``x`` and ``y`` of their columns, x.id < y.id.
 
-    ``rows``: ``key, id`` and more, each key once an id. ``also``: a condition on x and y.
+    ``rows``: ``key, id`` and more, each key once an id. ``also``: a condition on x and y. ``asking``: a condition on a member's
+    own columns; with it x is each member for which it holds and y each other member.
     """
     carried = [c for c in rows.columns if c != "key"]
     sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
@@ -61,7 +62,10 @@ def meetings(rows: DataFrame, also: str = "true") -> DataFrame:
     left, right = (
         blocked.select("key", "_lo", "_hi", F.col("_blk").alias(f"_{s}"), F.struct(*carried).alias(s)) for s in "xy"
     )
-    met = left.join(right, ["key", "_lo", "_hi"]).where(f"x.id < y.id AND (_lo = _hi OR _x <> _y) AND ({also})")
+    if asking is not None:
+        left = blocked.where(asking).select("key", "_lo", "_hi", F.col("_blk").alias("_x"), F.struct(*carried).alias("x"))
+    order = "x.id < y.id" if asking is None else "x.id <> y.id"
+    met = left.join(right, ["key", "_lo", "_hi"]).where(f"{order} AND (_lo = _hi OR _x <> _y) AND ({also})")
     return met.select("x", "y")
 
 
