@@ -44,11 +44,11 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, records.drop("text").join(first, "digest").drop("digest")
 
 
-def meetings(rows: DataFrame, also: str = "true", both_ways: bool = False) -> DataFrame:
+def meetings(rows: DataFrame, also: str = "true") -> DataFrame:
     """Every two members of a bucket, once a bucket: structs ``x`` and ``y`` of their columns, x.id < y.id.
 
-    ``rows``: ``key, id`` and more, each key once an id. ``also``: a condition on x and y. ``both_ways``: also with x.id > y.id.
-    Both sides come from one shuffle as long as ``also`` has no part that can be moved to one of them.
+    ``rows``: ``key, id`` and more, each key once an id. ``also``: a condition on x and y. Both sides come from one shuffle as
+    long as ``also`` needs the same columns of both and has no part that can be moved to one of them.
     """
     carried = [c for c in rows.columns if c != "key"]
     sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
@@ -62,8 +62,7 @@ def meetings(rows: DataFrame, also: str = "true", both_ways: bool = False) -> Da
     left, right = (
         blocked.select("key", "_lo", "_hi", F.col("_blk").alias(f"_{s}"), F.struct(*carried).alias(s)) for s in "xy"
     )
-    order = "x.id <> y.id" if both_ways else "x.id < y.id"
-    met = left.join(right, ["key", "_lo", "_hi"]).where(f"{order} AND (_lo = _hi OR _x <> _y) AND ({also})")
+    met = left.join(right, ["key", "_lo", "_hi"]).where(f"x.id < y.id AND (_lo = _hi OR _x <> _y) AND ({also})")
     return met.select("x", "y")
 
 
