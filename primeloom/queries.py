@@ -26,6 +26,7 @@ from primeloom.plans import lemmas
 from primeloom.plans import translation as R
 from primeloom.sources import readers, sinks, storage
 from primeloom.sources.schemas import EXPLICATION, EXPLICATION_FIELDS, MODEL, MODEL_FIELDS
+from primeloom.streaming import scoring as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -921,6 +922,16 @@ def js_passage_json(spark: SparkSession, d: str) -> DataFrame:
     return readers.table(spark, d, "passages").select("entry_id", "passage_id", line.alias("line"))
 
 
+# ---- streams
+
+
+@_query(f"WITH {_C} SELECT expl_id, model, len_ AS length, primes, stop_words, molecules FROM l")
+def stream_legality(spark: SparkSession, d: str) -> DataFrame:
+    """The counts over a stream of deliveries, each explication once however late it comes again."""
+    counts = streams.legality_stream(streams.explication_stream(spark, f"{d}/explications.parquet*"), "3650 days")
+    return streams.run_available(counts).select("expl_id", "model", "length", "primes", "stop_words", "molecules")
+
+
 # ---- order (ST)
 
 
