@@ -17,12 +17,14 @@ NULL text or NULL key, or of no token aren't used; two targets of one name count
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,12 @@ def tokenizer(path: str):
 
 
 def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, tokens`` of the documents that have a target."""
+    """``doc_id, source, tokens`` of the documents that have a target. The vocabulary file lies on the driver and is sent with the job."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             tokens = pa.array([len(encode(t)) for t in batch.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], ["doc_id", "source", "tokens"])
