@@ -2,8 +2,8 @@
 
 Method: Order MinHash. A sample takes, of the occurrence-labelled runs of three words of a text, some that are least under a
 random order and keeps them in the order of the text; texts that agree in a sample are candidates. Half of the samples take two
-runs, those of stock phrases last (``common_pairs``); the other half takes four whatever they are, so texts that have only stock in common meet too.
-Every second sample leaves the text's order out, as parts may be moved all over.
+runs, those of stock phrases last (``common_pairs``), and every second of these leaves the text's order out, as parts may be moved
+all over. The other half takes four whatever they are, in no order, so texts that have only stock in common meet too.
 
 Candidates whose sets of runs cannot agree are dropped (``pairs.promising``); the others are decided by banded alignment: the
 runs inside aligned segments, of which a moved part is one of its own, must make up ``THRESHOLD`` of the runs of both texts.
@@ -178,7 +178,7 @@ def order_min_hash(value: np.ndarray, record: np.ndarray, stock: np.ndarray, sam
             h = ((labelled * (seeds[i] | np.uint64(1))) >> np.uint64(1)) | top
             places = np.sort(least_places(h, of, limit, size, take), axis=1)
             x = np.where(places < 0, np.uint64(0), labelled[places])
-            if turn % 2:
+            if turn % 2 or not rarer_first:
                 x = np.sort(x, axis=1)
             key = np.full(len(begin), seeds[i])
             for c in range(take):
