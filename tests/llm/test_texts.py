@@ -173,6 +173,15 @@ def test_nearest_copy_decides(spark):
     assert told_by_copies(texts) == {(1, False)}
 
 
+def test_copy_met_on_common_bands_alone_is_compared(spark):
+    """The end's rarest bands stand only in a text that is no copy; the copy, delivered often, has that part misspelt."""
+    rng = random.Random(12)
+    part, rest = ([f"w{rng.randrange(3000)}" for _ in range(n)] for n in (26, 160))
+    copy = [w + "x" if i % 3 == 0 else w for i, w in enumerate(part)] + rest
+    texts = {1: " ".join(part + rest[:150]), 2: " ".join(part) + " and this is all.", **dict.fromkeys(range(3, 9), " ".join(copy) + ".")}
+    assert told_by_copies(spark.createDataFrame(list(texts.items()), "id long, text string")) == {(1, True)}
+
+
 @pytest.mark.parametrize("part", [0.25, 0.5, 0.9])
 def test_strongly_cut_texts_meet_their_copies(spark, part):
     rng = random.Random(12)
