@@ -107,6 +107,19 @@ def test_texts_of_stock_lines_lose_no_pair(frame):
     assert brute_force(rows, True, 0.6) <= pairs(S.found(df)) <= brute_force(rows, True)
 
 
+@pytest.mark.parametrize("every", [9, 10])
+def test_no_overlap_at_the_threshold_is_left_out(frame, every):
+    """Edits so dense that few runs of five words are left, and short texts: all pairs that agree by half."""
+    rng = random.Random(every)
+    rows = []
+    for i in range(150):
+        said = [rng.choice(VOCABULARY[:400]) for _ in range(rng.randrange(40, 66) if i % 3 else rng.randrange(5, 12))]
+        rows.append({"row_id": 2 * i, "split": "train", "explication": " ".join(said)})
+        rows.append({"row_id": 2 * i + 1, "split": "test", "explication": " ".join(misspelt(said, every, rng.randrange(every)))})
+    want = brute_force(rows, True)
+    assert len(want) > 60 and pairs(S.found(frame("nsm_dataset", rows))) == want
+
+
 def test_edges(frame):
     long = " ".join(["echo"] * 20_000)
     rows = [
