@@ -18,15 +18,21 @@ from primeloom.functions.text import tokens
 ORDER = 4
 
 
-def score(hypothesis: Sequence[str], reference: Sequence[str], order: int = ORDER) -> float:
-    """BLEU of two token lists; each n-gram is counted once, so the work grows with their lengths."""
+def grams(words: Sequence[str], order: int = ORDER) -> list[Counter]:
+    """How often each n-gram stands in a token list, for each n from 1 on."""
+    return [Counter(zip(*(words[s:] for s in range(n)))) for n in range(1, order + 1)]
+
+
+def score(hypothesis: Sequence[str], reference: Sequence[str], order: int = ORDER, known: list[Counter] | None = None) -> float:
+    """BLEU of two token lists; each n-gram is counted once, so the work grows with their lengths. ``known``: ``grams`` of the reference."""
+    known = known or grams(reference, order)
     hits, logs, used, missed = 0, 0.0, 0, 0
     for n in range(1, order + 1):
         total = len(hypothesis) - n + 1
         if total <= 0:
             break
         own = Counter(zip(*(hypothesis[s:] for s in range(n))))
-        other = Counter(zip(*(reference[s:] for s in range(n))))
+        other = known[n - 1]
         clipped = sum(min(c, other[g]) for g, c in own.items() if g in other)
         hits += clipped
         missed += clipped == 0

@@ -129,3 +129,22 @@ def test_position_deviations(spark):
     df = spark.createDataFrame([("m", [1.0, 5.0]), ("m", [3.0]), ("m", None)], "model string, b array<double>")
     got = {r.position: (r.std, r.bar) for r in D.position_deviations(df, "model", {"bleu": "b"}, (0, 1, 7), 2.0).collect()}
     assert got == {0: (1.0, 0.5), 1: (0.0, 0.0)}
+
+
+def test_scores_embed_a_text_once_for_all_languages(spark, tmp_path):
+    """A text's vector doesn't depend on the language, and a text that came back as it was is no other text."""
+
+    def counting():
+        def run(batch):
+            with open(tmp_path / "texts", "a") as f:
+                f.writelines(f"{t}\n" for t in batch["text"])
+            return plugins.fake_embedder()(batch)
+
+        return run
+
+    texts = spark.createDataFrame([(1, "See this. People are here"), (2, " . "), (3, None)], "expl_id long, text string").coalesce(1)
+    scored = R.scores(R.round_trip(texts, list(plugins.FAKE_LOSSES), plugins.fake_translator), counting, plugins.fake_metric, 2)
+    got = {(r.expl_id, r.lang): (r.bleu, r.embed) for r in scored.collect()}
+    assert got[1, "hi"] == (100.0, pytest.approx(1.0)) and 0 < got[1, "de"][0] < 100 and got[2, "de"] == got[3, "de"] == (0.0, 0.0)
+    embedded = (tmp_path / "texts").read_text().splitlines()
+    assert len(embedded) == len(set(embedded))
