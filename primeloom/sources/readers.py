@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from primeloom.sources import sinks
 from primeloom.sources.schemas import EXPLICATION, EXPLICATION_FIELDS, MODEL, MODEL_FIELDS, PREDICTION, SCHEMAS, SUB_SCORE
 
 
@@ -41,17 +44,67 @@ def results(spark: SparkSession, path: str, swapped: bool = True) -> DataFrame:
 
     Keys that hold no object (run metadata) are left out. ``swapped``: the file has the two partial deltas exchanged.
     """
-    raw = spark.read.text(path, wholetext=True)
-    # metadata values aren't objects: each key's value is parsed on its own
-    keyed = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("model", "body")).where(F.col("body").startswith("{"))
-    parsed = keyed.select("model", F.from_json("body", f"struct<explications:array<{EXPLICATION}>>").alias("r"))
-    return parsed.select("model", F.posexplode("r.explications").alias("place", "explication")).withColumn("explication", _ordered("explication", swapped))
+    own, others = _files(spark, path)
+    made = []
+    if own:
+        pieces, heads = _pieces(spark, own)
+        spots = spark.createDataFrame(heads, "file string, start long, shift long, heads array<struct<at: long, model: string>>")
+        # a piece belongs to the last model that begins before it
+        placed = pieces.join(F.broadcast(spots), ["file", "start"]).where(F.col("value").rlike(r'^,?\{"')).withColumn("at", F.col("id") + F.col("shift"))
+        last = placed.withColumn("head", F.element_at(F.filter("heads", lambda h: h["at"] < F.col("at")), -1))
+        text = F.regexp_replace("value", "^,", "")
+        made.append(last.select(F.col("head.model").alias("model"), (F.col("at") - F.col("head.at") - 1).cast("int").alias("place"), F.from_json(text, EXPLICATION).alias("explication")))
+    if others or not made:
+        raw = spark.read.text(others or path, wholetext=True)
+        # metadata values aren't objects: each key's value is parsed on its own
+        keyed = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("model", "body")).where(F.col("body").startswith("{"))
+        parsed = keyed.select("model", F.from_json("body", f"struct<explications:array<{EXPLICATION}>>").alias("r"))
+        made.append(parsed.select("model", F.posexplode("r.explications").alias("place", "explication")))
+    return reduce(DataFrame.unionAll, made).withColumn("explication", _ordered("explication", swapped))
+
+
+def _files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files that ``sinks.result_file`` wrote in pieces, and all others, told by how they begin."""
+    own: list[str] = []
+    others: list[str] = []
+    jvm, begin = spark._jvm, (sinks.FIRST_PIECE + sinks.BETWEEN).encode()
+    for name in spark.read.text(path).inputFiles():
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+        first = [stream.read() for _ in begin]
+        stream.close()
+        (own if first == list(begin) else others).append(file.toString())
+    return own, others
+
+
+def _pieces(spark: SparkSession, files: list[str]) -> tuple[DataFrame, list[tuple]]:
+    """``file, start, id, value`` of all pieces, and for each block of a file what added to ``id`` gives the piece's place in the file, with
+    the places and names of the file's models. Only the models' pieces reach the driver."""
+    raw = spark.read.option("lineSep", sinks.BETWEEN).text(files)
+    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    head = F.when(F.col("value").startswith('"') & F.col("value").endswith('"explications":['), F.struct("id", "value"))
+    blocks = pieces.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.collect_list(head).alias("heads")).collect()
+    spots, heads, before = [], defaultdict(list), Counter()
+    for b in sorted(blocks, key=lambda b: (b["file"], b["start"])):
+        shift = before[b["file"]] - b["first"]
+        before[b["file"]] += b["n"]
+        spots.append((b["file"], b["start"], shift))
+        heads[b["file"]] += [(h["id"] + shift, h["value"]) for h in sorted(b["heads"])]
+    named = {f: [(at, next(iter(json.loads(f"{{{v}]}}}}")))) for at, v in each] for f, each in heads.items()}
+    return pieces, [(*s, named[s[0]]) for s in spots]
 
 
 def model_results(spark: SparkSession, path: str) -> DataFrame:
     """The averages of each model of result files, as columns."""
-    raw = spark.read.text(path, wholetext=True)
-    keyed = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "body")).where(F.col("body").startswith("{"))
+    own, others = _files(spark, path)
+    made = []
+    if own:
+        raw = spark.read.option("lineSep", sinks.BETWEEN).text(own).where(F.col("value").startswith('"') & F.col("value").endswith('"explications":['))
+        made.append(raw.select(F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("]}}")), "map<string,string>")).alias("name", "body")))
+    if others or not made:
+        raw = spark.read.text(others or path, wholetext=True)
+        made.append(raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "body")).where(F.col("body").startswith("{")))
+    keyed = reduce(DataFrame.unionAll, made)
     return keyed.select("name", F.from_json("body", MODEL).alias("m")).select(F.coalesce("m.model", "name").alias("model"), *[f"m.{c}" for c in MODEL_FIELDS if c != "model"])
 
 

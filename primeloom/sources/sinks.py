@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from primeloom.sources.schemas import EXPLICATION_FIELDS, MODEL_FIELDS, PREDICTION_FIELDS, SUB_SCORE_FIELDS
 
 _ALL = {"ignoreNullFields": "false"}
+#: what a result file written here begins with, and what stands between its pieces: white space that no JSON string holds as it is
+FIRST_PIECE, BETWEEN = "{ ", "\t"
 
 
 def typed(fields: Mapping[str, str], have: Mapping[str, Column] | None = None) -> Column:
@@ -86,15 +89,10 @@ def write_results(scored: DataFrame, models: DataFrame, path: str, graders: list
 def result_file(scored: DataFrame, models: DataFrame, path: str, graders: list[str], languages: list[str], swapped: bool = True) -> None:
     """One JSON object of a run as other tools read it: a key for each model, and ``timestamp``, ``graders``, ``languages``.
 
-    The format holds a run in one line, so this is an export of an evaluation's result; bulk data goes through ``write_results``.
+    The object is one line of one file, so one task writes it, but in pieces of an explication or a model's averages, which it takes from a
+    sort that may spill: no run is ever held in memory. ``readers.results`` reads the pieces in as many tasks as there are blocks.
+    Models without explications, and explications without their model, are left out.
     """
-    listed = scored.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("entry_id", "expl_id", explication(swapped=swapped).alias("x")))).alias("_all"))
-    each = models.join(listed, "model").select(
-        F.format_string(
-            '%s:%s,"explications":%s}', F.to_json(F.array("model")).substr(F.lit(2), F.length(F.to_json(F.array("model"))) - 2),
-            F.regexp_replace(model_json(), r"\}$", ""), F.to_json(F.transform("_all", lambda e: e["x"]), _ALL),
-        ).alias("v")
-    )
     meta = F.to_json(
         F.struct(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd_HH-mm-ss").alias("timestamp"),
@@ -102,10 +100,39 @@ def result_file(scored: DataFrame, models: DataFrame, path: str, graders: list[s
             F.array(*map(F.lit, languages)).cast("array<string>").alias("languages"),
         )
     )
-    whole = each.agg(F.array_join(F.collect_list("v"), ",").alias("v")).select(
-        F.concat(F.lit("{"), F.when(F.col("v") != "", F.concat("v", F.lit(","))).otherwise(""), meta.substr(F.lit(2), F.length(meta) - 1)).alias("value")
-    )
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    name = F.to_json(F.array("model"))
+    head = F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(":"), F.regexp_replace(model_json(), r"\}$", ""), F.lit(',"explications":['))
+    none = F.lit(None).cast("long")
+    rows = [
+        models.where("model IS NOT NULL").select(F.lit(0).alias("kind"), "model", F.lit(0).alias("turn"), none.alias("entry_id"), none.alias("expl_id"), head.alias("value")),
+        scored.where("model IS NOT NULL").select(F.lit(0), "model", F.lit(1), F.col("entry_id").cast("long"), F.col("expl_id").cast("long"), explication_json(swapped=swapped)),
+        scored.sparkSession.range(1).select(F.lit(1), F.lit(None).cast("string"), F.lit(0), none, none, meta.substr(F.lit(2), F.length(meta) - 1)),
+    ]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, of, begun = None, None, False  # the model's head until its first explication, the model, whether its list is open
+        made = [FIRST_PIECE]
+        for batch in batches:
+            for kind, model, turn, value in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5))):
+                if begun and (kind or (turn == 0 and model != of)):
+                    made.append("]},")
+                    begun = False
+                if kind:
+                    made.append(value)
+                elif turn == 0:
+                    if model != of:
+                        head, of = value, model
+                elif model == of:
+                    if begun:
+                        made.append("," + value)
+                    else:
+                        made += (head, value)
+                        begun = True
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+            made = []
+
+    every = rows[0].unionAll(rows[1]).unionAll(rows[2]).repartition(1).sortWithinPartitions("kind", "model", "turn", "entry_id", "expl_id", "value")
+    every.mapInArrow(pieces, "value string").write.mode("overwrite").option("lineSep", BETWEEN).text(path)
 
 
 def publish(data: DataFrame, path: str, message: str) -> None:

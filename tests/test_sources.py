@@ -48,6 +48,25 @@ def test_result_file_is_one_json_object(spark, tmp_path):
     assert set(json.loads(spark.read.text(str(tmp_path / "none")).first().value)) == {"timestamp", "graders", "languages"}
 
 
+def test_result_file_is_written_and_read_in_pieces(spark, tmp_path):
+    """No row holds a model's explications; blocks cut anywhere give every explication its model and place."""
+    (_, models), path = run(spark), str(tmp_path / "file")
+    fields = ", ".join(f"{n} {t}" for n, t in C.EXPLICATION_FIELDS.items())
+    rows = [(m, e, e, *({"text": f"{m} {e}\t\n{{"}.get(c) for c in C.EXPLICATION_FIELDS)) for m in ("a", 'm "q"', "z") for e in range(200)]
+    every = models.unionAll(models.withColumn("model", F.lit("z"))).unionAll(models.withColumn("model", F.lit("unused")))
+    sinks.result_file(spark.createDataFrame(rows, f"model string, entry_id long, expl_id long, {fields}"), every, path, ["g"], [])
+    assert spark.read.option("lineSep", sinks.BETWEEN).text(path).agg(F.max(F.length("value"))).first()[0] < 1500
+    whole = json.loads(spark.read.text(path).first().value)
+    assert set(whole) == {'m "q"', "z", "timestamp", "graders", "languages"} and len(whole["z"]["explications"]) == 200
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        got = {(r.model, r.place): r.explication.text for r in readers.results(spark, path).collect()}
+        assert {r.model for r in readers.model_results(spark, path).collect()} == {'m "q"', "z"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(m, e): f"{m} {e}\t\n{{" for m in ('m "q"', "z") for e in range(200)}
+
+
 def test_missing_fields_have_defaults(spark):
     df = spark.createDataFrame([('{"prediction": "w"}', '{"model": "m", "minimality": [[{}], []]}')], "p string, s string")
     r = df.select(readers.read_prediction(F.col("p")).alias("p"), readers.read_sub_score(F.col("s")).alias("s")).first()
