@@ -203,6 +203,13 @@ def test_large_buckets_are_split_and_lose_nothing(spark):
     assert got.count() == got.distinct().count() == n * (n - 1) // 2
 
 
+def test_small_and_large_buckets_meet_once(spark):
+    sizes = {1: 1, 2: 2, 3: P.BLOCK, 4: P.BLOCK + 1}
+    rows = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)], "key long, id long")
+    met = [tuple(r) for r in P.meetings(rows).select("x.id", "y.id").collect()]
+    assert len(met) == sum(n * (n - 1) // 2 for n in sizes.values()) and all(a < b for a, b in met)
+
+
 def test_winnowing_keeps_its_promise():
     import numpy as np
 
