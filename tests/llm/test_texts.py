@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from primeloom.llm import answers as A
 from primeloom.llm import leaks as K
 from primeloom.llm import mixing as M
+from primeloom.llm import pairs as P
 from primeloom.llm import reading_level as R
 from primeloom.llm import term_counts as T
 from primeloom.llm import truncated as C
@@ -182,6 +184,43 @@ def test_copy_met_on_common_bands_alone_is_compared(spark):
     assert told_by_copies(spark.createDataFrame(list(texts.items()), "id long, text string")) == {(1, True)}
 
 
+def test_bands_of_equal_texts_alone_are_not_shared(spark):
+    """Copies of a table's rows add no band that is looked up, and a band goes to one task with all that meets on it."""
+    said = [[f"w{k}x{i}" for i in range(40)] for k in range(3)]
+    texts = [" ".join(said[0])] * 20 + [" ".join(said[1]), " ".join(said[1]) + " and more."]
+    held = C.prepared(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    ends = held.where("c IS NOT NULL")
+    counts = C.closing_counts(held, C.wanted_filter(ends.selectExpr("explode(concat(c, bands)) AS value")), [3])
+    shared = {r[0] for r in counts.where("n IS NULL").select("context").collect()}
+    asked = [{k for r in ends.where(f"id {at}").select("bands").collect() for k in r[0]} for at in ("< 20", "= 20")]
+    assert not shared & asked[0] and shared == asked[1]
+    rows = C.band_rows(held, C.wanted_filter(ends.selectExpr("explode(bands) AS value")))
+    met = {r["id"] for r in rows.where("asks").select("id").collect()}
+    assert met == set(range(21)) and {r["id"] for r in rows.select("id").distinct().collect()} == set(range(22))
+
+
+def test_an_end_met_by_more_texts_than_a_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(C, "MET", 4)
+    said = [f"w{i}" for i in range(40)]
+    texts = [" ".join(said), *(" ".join([*said, f"z{i}", "more."]) for i in range(20))]
+    assert told_by_copies(spark.createDataFrame(list(enumerate(texts)), "id long, text string")) == {(0, True)}
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for keep in (P.kept, P.stored):
+        got = keep(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+        assert sorted(r["count"] for r in got.collect()) == [142] + [143] * 6
+    left, until = files() - before, time.time() + 10
+    while left and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+        left = files() - before
+    assert not left and spark.conf.get(name) == "false"
+
+
 @pytest.mark.parametrize("part", [0.25, 0.5, 0.9])
 def test_strongly_cut_texts_meet_their_copies(spark, part):
     rng = random.Random(12)
