@@ -221,6 +221,17 @@ def test_kept_tables_leave_no_shuffle_files(spark):
     assert not left and spark.conf.get(name) == "false"
 
 
+@pytest.mark.parametrize("texts_a_part", [1, 40])
+def test_bands_in_parts_tell_the_same(spark, monkeypatch, texts_a_part):
+    rng = random.Random(5)
+    whole = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(30)]
+    rows = [(2 * i + j, " ".join(said[:n]) + end) for i, said in enumerate(whole) for j, (n, end) in enumerate(((60, "."), (20 + i, "")))]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    at_once = told_by_copies(texts)
+    monkeypatch.setattr(C, "PART_TEXTS", texts_a_part)
+    assert told_by_copies(texts) == at_once == {(2 * i + 1, True) for i in range(30)}
+
+
 @pytest.mark.parametrize("part", [0.25, 0.5, 0.9])
 def test_strongly_cut_texts_meet_their_copies(spark, part):
     rng = random.Random(12)
